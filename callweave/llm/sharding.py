@@ -27,7 +27,7 @@ def _bits(rows: int) -> int:
     return min(int(math.log2(MOST_BUCKETS)), max(4, math.ceil(math.log2(max(1, rows) / ROWS_A_BUCKET + 1))))
 
 
-def smallest_capacity(prefix: DataFrame, total: int, largest: int, n_shards: int, probes: int = 63) -> tuple[int, list[int]]:
+def smallest_capacity(prefix: DataFrame, total: int, largest: int, n_shards: int, probes: int = 15) -> tuple[int, list[int]]:
     """The least feasible capacity and the running size at each cut.
 
     ``prefix`` has ``end``, the running size at the end of each group. Any two

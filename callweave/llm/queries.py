@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .bpe import op10_byte_bpe
 from .mixing import op3_entropy_mix
 from .sharding import op7_minimax_shards
 
 QUERIES = {
+    "op10_byte_bpe": op10_byte_bpe,
     "op3_entropy_mix": op3_entropy_mix,
     "op7_minimax_shards": op7_minimax_shards,
 }

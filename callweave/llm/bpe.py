@@ -25,7 +25,7 @@ from ._support import arrow_batches
 ROOT = 0
 NEVER = float("inf")
 #: Entries that a worker remembers of pieces, states and neighbours; beyond, it starts anew.
-MOST_PIECES, MOST_STATES, MOST_PAIRS = 100_000, 120_000, 200_000
+MOST_PIECES, MOST_STATES, MOST_PAIRS = 120_000, 200_000, 250_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -68,6 +68,7 @@ class Transducer:
 
     def _reset(self) -> None:
         start = (((), None, ROOT),)
+        self.shared: dict[tuple, tuple] = {}  # guesses, each kept once
         self.number = {start: 0}
         self.states = [start]
         self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
@@ -139,7 +140,8 @@ class Transducer:
             while waiting[: len(agreed)] != agreed:
                 agreed = agreed[:-1]
         n = len(agreed)
-        key = tuple((waiting[n:], before, node) for waiting, before, node in guesses) if n else tuple(guesses)
+        one = self.shared.setdefault
+        key = tuple([one(x, x) for x in ([(waiting[n:], before, node) for waiting, before, node in guesses] if n else guesses)])
         if (to := self.number.get(key)) is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)

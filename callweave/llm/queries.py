@@ -5,15 +5,18 @@ from __future__ import annotations
 from .bpe import op10_byte_bpe
 from .line_dedup import OP2_SQL, op2_line_runs
 from .mixing import op3_entropy_mix
+from .ngram_join import OP4_SQL, op4_partenum
 from .sharding import op7_minimax_shards
 
 QUERIES = {
     "op2_line_runs": op2_line_runs,
     "op10_byte_bpe": op10_byte_bpe,
     "op3_entropy_mix": op3_entropy_mix,
+    "op4_partenum": op4_partenum,
     "op7_minimax_shards": op7_minimax_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_runs": OP2_SQL,
+    "op4_partenum": OP4_SQL,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op10_byte_bpe
+from .chat import OP9_SQL, op9_chat_template
 from .line_dedup import OP2_SQL, op2_line_runs
 from .mixing import op3_entropy_mix
 from .ngram_join import OP4_SQL, op4_partenum
@@ -14,9 +15,11 @@ QUERIES = {
     "op3_entropy_mix": op3_entropy_mix,
     "op4_partenum": op4_partenum,
     "op7_minimax_shards": op7_minimax_shards,
+    "op9_chat_template": op9_chat_template,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_runs": OP2_SQL,
     "op4_partenum": OP4_SQL,
+    "op9_chat_template": OP9_SQL,
 }

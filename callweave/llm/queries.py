@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op10_byte_bpe
+from .cap_filters import OP5_SQL, op5_cap_filters
 from .chat import OP9_SQL, op9_chat_template
 from .line_dedup import OP2_SQL, op2_line_runs
 from .mixing import op3_entropy_mix
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
     "op3_entropy_mix": op3_entropy_mix,
     "op4_partenum": op4_partenum,
+    "op5_cap_filters": op5_cap_filters,
     "op7_minimax_shards": op7_minimax_shards,
     "op9_chat_template": op9_chat_template,
 }
@@ -21,5 +23,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_line_runs": OP2_SQL,
     "op4_partenum": OP4_SQL,
+    "op5_cap_filters": OP5_SQL,
     "op9_chat_template": OP9_SQL,
 }

@@ -8,6 +8,7 @@ from .chat import OP9_SQL, op9_chat_template
 from .line_dedup import OP2_SQL, op2_line_runs
 from .mixing import op3_entropy_mix
 from .ngram_join import OP4_SQL, op4_partenum
+from .quality import op6_ngram_ratio
 from .sharding import op7_minimax_shards
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_entropy_mix": op3_entropy_mix,
     "op4_partenum": op4_partenum,
     "op5_cap_filters": op5_cap_filters,
+    "op6_ngram_ratio": op6_ngram_ratio,
     "op7_minimax_shards": op7_minimax_shards,
     "op9_chat_template": op9_chat_template,
 }

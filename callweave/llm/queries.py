@@ -10,6 +10,7 @@ from .mixing import op3_entropy_mix
 from .ngram_join import OP4_SQL, op4_partenum
 from .quality import op6_ngram_ratio
 from .sharding import op7_minimax_shards
+from .toxicity import op8_subsequence_svm
 
 QUERIES = {
     "op2_line_runs": op2_line_runs,
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_cap_filters": op5_cap_filters,
     "op6_ngram_ratio": op6_ngram_ratio,
     "op7_minimax_shards": op7_minimax_shards,
+    "op8_subsequence_svm": op8_subsequence_svm,
     "op9_chat_template": op9_chat_template,
 }
 

@@ -25,7 +25,7 @@ from ._support import arrow_batches
 ROOT = 0
 NEVER = float("inf")
 #: Entries that a worker remembers of pieces, states and neighbours; beyond, it starts anew.
-MOST_PIECES, MOST_STATES, MOST_PAIRS = 120_000, 200_000, 250_000
+MOST_PIECES, MOST_STATES, MOST_PAIRS = 250_000, 300_000, 300_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -301,11 +301,11 @@ def worker_encoder(data: bytes, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Token ids of every text, and with ``decode`` the text that the ids give back.
 
-    Returns id_col, ids array<int> and, if asked for, decoded string, one row
-    for each row of ``docs``. A null or empty text has no ids. A text is encoded
+    Returns id_col, the columns of ``keep``, ids array<int> and, if asked for,
+    decoded string, one row for each row of ``docs``. A null or empty text has no ids. A text is encoded
     whole, whatever its length; time grows with its length only. Repeated rows
     are rows of their own, an empty table gives an empty table, other columns
     are ignored. ``ranks_path`` is read on the driver (a vocabulary file of a
@@ -324,22 +324,22 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
         decoder = Decoder(encoder.transducer.bytes_of)
         for batch in batches:
             flat, ends, texts = [], [0], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(batch.num_columns - 1).to_pylist():
                 ids = encoder.encode(text) if text else []
                 if decode:
                     texts.append(decoder.decode(ids))
                 flat.append(np.array(ids, dtype=np.int32))
                 ends.append(ends[-1] + len(ids))
             values = np.concatenate(flat) if flat else np.array([], dtype=np.int32)
-            columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))]
+            columns = [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))]
             if decode:
                 columns.append(pa.array(texts, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    names = [id_col, "ids", *["decoded"] * decode]
-    schema = f"`{id_col}` {kind}, ids array<int>" + ", decoded string" * decode
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    own = docs.select(F.col(id_col), *keep, F.col(text_col).cast("string").alias("_whole"))
+    names = [id_col, *keep, "ids", *["decoded"] * decode]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema[:-1]) + ", ids array<int>" + ", decoded string" * decode
+    return own.mapInArrow(run, schema)
 
 
 def decode_ids(tokens: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

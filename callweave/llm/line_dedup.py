@@ -93,11 +93,11 @@ def _line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, _text bigint, h1 bigint, h2 bigint")
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
+def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, keep: tuple[str, ...] = ()) -> DataFrame:
     """Texts without the lines that stand in at least ``min_docs`` documents.
 
-    Returns one row for each row of ``docs``: id_col, text (other lines joined
-    by a newline), n_lines, n_dropped. A null or empty text is one empty line,
+    Returns one row for each row of ``docs``: id_col, the columns of ``keep``, text
+    (other lines joined by a newline), n_lines, n_dropped. A null or empty text is one empty line,
     and lines whose key is empty always stay. Every row counts as a document,
     repeated rows too; equal rows get equal results. An empty table gives an
     empty table; other columns are ignored.
@@ -106,8 +106,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, i
     arrow_batches(spark)
     scratch = Scratch(spark, "lines")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"), text.alias("_bytes"))
-    lines = scratch.save(_line_hashes(rows, min_chars))
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"), text.alias("_bytes"), F.struct(*keep).alias("_kept") if keep else F.lit(0).alias("_kept"))
+    lines = scratch.save(_line_hashes(rows.drop("_kept"), min_chars))
     counts = lines.groupBy(F.pmod(F.xxhash64("_id", "_text"), F.lit(batches)).alias("batch"), *KEY).agg(F.count("*").alias("n"))
     staged = scratch.save(counts)
     runs = LineRuns(scratch, min_docs)
@@ -118,7 +118,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, i
     found = lines.join(hot, KEY, "left_semi")
     dropped = found.groupBy("_id", "_text").agg(F.collect_set(F.struct(*KEY)).alias("_drop"))
     dropped = dropped.select(F.col("_id").alias("_of"), F.col("_text").alias("_of_text"), F.col("_drop.h1").alias("_d1"), F.col("_drop.h2").alias("_d2"))
-    joined = rows.join(dropped, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_text") == F.col("_of_text")), "left").select("_id", "_bytes", "_d1", "_d2")
+    joined = rows.join(dropped, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_text") == F.col("_of_text")), "left").select("_id", "_bytes", "_d1", "_d2", "_kept")
 
     def run(batches):
         import numpy as np
@@ -139,10 +139,11 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, i
                 else:
                     n_dropped.append(0)
                 kept.append(data)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=["_id", "kept", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), batch.column(4)], names=["_id", "kept", "n_lines", "n_dropped", "_kept"])
 
-    out = joined.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, kept binary, n_lines bigint, n_dropped bigint")
-    return out.select(F.col("_id").alias(id_col), F.col("kept").cast("string").alias("text"), "n_lines", "n_dropped")
+    kinds = {f: rows.schema[f].dataType.simpleString() for f in ("_id", "_kept")}
+    out = joined.mapInArrow(run, f"_id {kinds['_id']}, kept binary, n_lines bigint, n_dropped bigint, _kept {kinds['_kept']}")
+    return out.select(F.col("_id").alias(id_col), *(F.col(f"_kept.{c}").alias(c) for c in keep), F.col("kept").cast("string").alias("text"), "n_lines", "n_dropped")
 
 
 def op2_line_runs(spark, sf_dir: str) -> DataFrame:

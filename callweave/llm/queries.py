@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op10_byte_bpe
 from .cap_filters import OP5_SQL, op5_cap_filters
 from .chat import OP9_SQL, op9_chat_template
+from .language import op1_crf_language
 from .line_dedup import OP2_SQL, op2_line_runs
 from .mixing import op3_entropy_mix
 from .ngram_join import OP4_SQL, op4_partenum
@@ -13,6 +14,7 @@ from .sharding import op7_minimax_shards
 from .toxicity import op8_subsequence_svm
 
 QUERIES = {
+    "op1_crf_language": op1_crf_language,
     "op2_line_runs": op2_line_runs,
     "op10_byte_bpe": op10_byte_bpe,
     "op3_entropy_mix": op3_entropy_mix,

@@ -13,6 +13,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @lru_cache(maxsize=1)
@@ -195,7 +196,7 @@ def demangled(name: str) -> str:
     return without_return_type(without_qualifiers(without_arguments(found)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _demangle(names: pd.Series) -> pd.Series:
     return names.map(demangled, na_action="ignore")
 

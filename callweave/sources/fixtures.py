@@ -9,7 +9,7 @@ from callweave.sources.callgraph import neighbour_lists
 
 TABLES = ("region", "nation", "supplier", "part", "customer", "lineitem")
 #: Functions of both graphs.
-NODES = """SELECT row_number() OVER (ORDER BY kind, k) - 1 AS idx, kind, k, nm FROM (
+NODES = """SELECT CAST(row_number() OVER (ORDER BY kind, k) - 1 AS BIGINT) AS idx, kind, k, nm FROM (
   SELECT 0 AS kind, CAST(r_regionkey AS BIGINT) AS k, r_name AS nm FROM {region}
   UNION ALL SELECT 1, CAST(n_nationkey AS BIGINT), n_name FROM {nation}
   UNION ALL SELECT 2, s_suppkey, replace(s_name, '#', '::') FROM {supplier}

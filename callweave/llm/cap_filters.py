@@ -14,6 +14,7 @@ without being listed: a group of near copies gives a row a member and filter.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
@@ -23,39 +24,45 @@ from ._support import Scratch, arrow_batches, components
 
 SEED = 20240607
 BLOCKS, CODEWORDS, ROTATIONS = 3, 40, 2
+#: Vectors that a filter is to get, when there are more than the least codewords give room for.
+VECTORS_A_FILTER = 4
 #: Mean number of filters of a rotation that a random vector passes, and the least that any vector is given.
 MEAN_FILTERS, LEAST_FILTERS = 12, 6
 CHUNK = 1000
+#: Groups up to this size are compared many at a time.
+SMALL = 48
 
 
 @lru_cache(maxsize=16)
-def code(dim: int, rotation: int):
+def code(dim: int, rotation: int, codewords: int):
     """The rotation, the codewords of each block, and the bound that random vectors exceed often enough."""
     import numpy as np
 
-    rng = np.random.default_rng([SEED, dim, rotation])
+    rng = np.random.default_rng([SEED, dim, rotation, codewords])
     q, r = np.linalg.qr(rng.standard_normal((dim, dim)))
     q *= np.sign(np.diag(r))
     blocks = max(1, min(BLOCKS, dim))
     cuts = np.linspace(0, dim, blocks + 1).astype(int)
     words = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        w = rng.standard_normal((CODEWORDS, b - a))
+        w = rng.standard_normal((codewords, b - a))
         words.append(w / np.linalg.norm(w, axis=1, keepdims=True) / np.sqrt(blocks))
     v = rng.standard_normal((400, dim))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
+    # sums over some directions; with many codewords a drawn part of them stands for all
+    picked = [w[rng.choice(len(w), min(len(w), CODEWORDS), replace=False)] for w in words]
     total = np.zeros((len(v), 1))
-    for a, b, w in zip(cuts[:-1], cuts[1:], words, strict=True):
+    for a, b, w in zip(cuts[:-1], cuts[1:], picked, strict=True):
         total = (total[:, :, None] + (v[:, a:b] @ w.T)[:, None, :]).reshape(len(v), -1)
-    bound = float(np.quantile(total, max(0.0, 1 - MEAN_FILTERS / total.shape[1])))
+    bound = float(np.quantile(total, max(0.0, 1 - MEAN_FILTERS / float(codewords) ** blocks)))
     return q, cuts, words, bound
 
 
-def list_decode(unit, dim: int, rotation: int):
+def list_decode(unit, dim: int, rotation: int, codewords: int = CODEWORDS):
     """(row, filter) of every direction that a unit vector exceeds, and the best few if those are fewer."""
     import numpy as np
 
-    q, cuts, words, bound = code(dim, rotation)
+    q, cuts, words, bound = code(dim, rotation, codewords)
     turned = unit @ q
     products = [turned[:, a:b] @ w.T for a, b, w in zip(cuts[:-1], cuts[1:], words, strict=True)]
     best = [p.max(axis=1) for p in products]
@@ -67,7 +74,7 @@ def list_decode(unit, dim: int, rotation: int):
             after = sum((best[j] for j in range(i + 1, len(products))), np.zeros(len(unit)))
             sums = total[:, None] + p[row]
             r, c = np.nonzero(sums + after[row][:, None] >= limit[row][:, None] - 1e-12)
-            row, at, total = row[r], at[r] * CODEWORDS + c, sums[r, c]
+            row, at, total = row[r], at[r] * codewords + c, sums[r, c]
         return row, at, total
 
     limit = np.full(len(unit), bound)
@@ -75,12 +82,12 @@ def list_decode(unit, dim: int, rotation: int):
     few = np.flatnonzero(np.bincount(r, minlength=len(unit)) < LEAST_FILTERS)
     if len(few):
         # directions of the best codewords of each block hold the best few sums
-        top = min(LEAST_FILTERS, CODEWORDS)
+        top = min(LEAST_FILTERS, codewords)
         sums, names = np.zeros((len(few), 1)), np.zeros((len(few), 1), np.int64)
         for p in products:
             c = np.argsort(-p[few], axis=1, kind="stable")[:, :top]
             sums = (sums[:, :, None] + np.take_along_axis(p[few], c, 1)[:, None, :]).reshape(len(few), -1)
-            names = (names[:, :, None] * CODEWORDS + c[:, None, :]).reshape(len(few), -1)
+            names = (names[:, :, None] * codewords + c[:, None, :]).reshape(len(few), -1)
         chosen = np.argsort(-sums, axis=1, kind="stable")[:, :LEAST_FILTERS]
         keep = ~np.isin(r, few)
         r = np.concatenate((r[keep], np.repeat(few, chosen.shape[1])))
@@ -88,20 +95,20 @@ def list_decode(unit, dim: int, rotation: int):
     return r, f
 
 
-def filters_of(vectors):
+def filters_of(vectors, codewords: int = CODEWORDS):
     """(row, filter) for all rotations; a filter's number tells its rotation."""
     import numpy as np
 
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     dim, rows, filters = vectors.shape[1], [], []
     for i in range(ROTATIONS):
-        r, f = list_decode(unit, dim, i)
+        r, f = list_decode(unit, dim, i, codewords)
         rows.append(r)
         filters.append(f * ROTATIONS + i)
     return np.concatenate(rows), np.concatenate(filters)
 
 
-def _link_block(own, other, filter_, least):
+def _link_block(own, other, filter_, least, codewords):
     """Which of two lists of vectors link, counted for this filter alone.
 
     Returns the index pairs (into own, other) at or above the cosine whose least
@@ -121,7 +128,7 @@ def _link_block(own, other, filter_, least):
     if not len(i):
         return i, j
     mine, theirs = np.unique(i), np.unique(j)
-    (r1, f1), (r2, f2) = filters_of(own[mine]), filters_of(other[theirs])
+    (r1, f1), (r2, f2) = filters_of(own[mine], codewords), filters_of(other[theirs], codewords)
     early, late = f1 < filter_, f2 < filter_
     names = np.unique(np.concatenate((f1[early], f2[late])))
     if not len(names):
@@ -133,7 +140,42 @@ def _link_block(own, other, filter_, least):
     return i[~earlier], j[~earlier]
 
 
-def _passed(distinct: DataFrame) -> DataFrame:
+def _link_small(unit, x, ids, copies, filters, starts, sizes, least, codewords):
+    """Links within groups of few vectors, all groups of one size at a time: (vec, copies linked, least of the two)."""
+    import numpy as np
+
+    firsts, seconds = [], []
+    for size in np.unique(sizes):
+        at = starts[sizes == size]
+        i, j = np.triu_indices(size, 1)
+        step = max(1, 100_000 // len(i))
+        for k in range(0, len(at), step):
+            a, b = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
+            near = np.einsum("ij,ij->i", unit[a], unit[b]) >= least - 1e-9
+            firsts.append(a[near])
+            seconds.append(b[near])
+    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (firsts, seconds))
+    if len(a):
+        exact = np.einsum("ij,ij->i", x[a], x[b]) / (np.linalg.norm(x[a], axis=1) * np.linalg.norm(x[b], axis=1)) >= least
+        a, b = a[exact], b[exact]
+    if not len(a):
+        return None
+    # rows of one vector have the same filters: decode each vector once
+    met, place = np.unique(ids[np.concatenate((a, b))], return_inverse=True)
+    where = np.empty(len(met), np.int64)
+    where[place] = np.concatenate((a, b))
+    r, f = filters_of(x[where], codewords)
+    own: list[set[int]] = [set() for _ in met]
+    for i, v in zip(r.tolist(), f.tolist(), strict=True):
+        own[i].add(v)
+    pa, pb = place[: len(a)].tolist(), place[len(a) :].tolist()
+    first = np.array([min(own[i] & own[j]) == v for i, j, v in zip(pa, pb, filters[a].tolist(), strict=True)], bool)
+    a, b = a[first], b[first]
+    low = np.minimum(ids[a], ids[b])
+    return np.concatenate((ids[a], ids[b])), np.concatenate((copies[b], copies[a])), np.concatenate((low, low))
+
+
+def _passed(distinct: DataFrame, codewords: int) -> DataFrame:
     """A row for every filter that a vector passes."""
 
     def run(batches):
@@ -146,7 +188,7 @@ def _passed(distinct: DataFrame) -> DataFrame:
             sizes = np.array([len(v) for v in vectors])
             for dim in np.unique(sizes):
                 at = np.flatnonzero(sizes == dim)
-                r, f = filters_of(np.array([vectors[k] for k in at], np.float64))
+                r, f = filters_of(np.array([vectors[k] for k in at], np.float64), codewords)
                 took = pa.array(at[r])
                 yield pa.RecordBatch.from_arrays([pa.array(groups[at[r]]), pa.array(np.full(len(r), dim, np.int32)), pa.array(f), pa.array(ids[at[r]]), batch.column(2).take(took), batch.column(3).take(took)], names=["grp", "dim", "filter", "vec", "embedding", "copies"])
 
@@ -175,7 +217,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id"
     distinct = rows.where("good").groupBy("grp", "embedding").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"))
     distinct = scratch.save(distinct.withColumn("vec", F.xxhash64("grp", "embedding")))
 
-    passed = scratch.save(_passed(distinct))
+    # more vectors, finer filters: a filter gets no more of them
+    codewords = max(CODEWORDS, math.ceil((distinct.count() / VECTORS_A_FILTER) ** (1 / BLOCKS)))
+    passed = scratch.save(_passed(distinct, codewords))
     # a filter that many pass is cut into chunks, and every two chunks meet in one task's block
     many = passed.groupBy("grp", "dim", "filter").agg(F.count("*").alias("m")).where("m > 1").withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
     cut = passed.join(many, ["grp", "dim", "filter"]).withColumn("own", F.pmod(F.xxhash64("vec"), F.col("chunks")).cast("int"))
@@ -188,13 +232,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id"
         import numpy as np
         import pyarrow as pa
 
-        def flush(rows):
+        def large(x, ids, copies, own, filter_, p, q):
             """All links of one block: counts and the least vector reached, by vector."""
-            filter_, p, q = rows[0][2], rows[0][3], rows[0][4]
-            x = np.array([r[7] for r in rows], np.float64)
-            ids, copies, own = np.array([r[6] for r in rows]), np.array([r[8] for r in rows]), np.array([r[5] for r in rows])
             a, b = np.flatnonzero(own == p), np.flatnonzero(own == q)
-            i, j = _link_block(x[a], x[b], filter_, least)
+            i, j = _link_block(x[a], x[b], filter_, least, codewords)
             i, j = a[i], b[j]
             if p == q:
                 i, j = i[i < j], j[i < j]
@@ -211,26 +252,58 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id"
             hit = np.flatnonzero(counts)
             return ids[hit], counts[hit].astype(np.int64), root[hit]
 
-        held: list[tuple] = []
-        out: list[tuple] = []
-
-        def emit():
-            found, out[:] = list(zip(*out, strict=True)), []
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], names=["vec", "n", "root"])
+        def whole(table, starts, ends):
+            """Links of the groups that lie in a table whole."""
+            columns = [table.column(i).to_numpy() for i in (2, 3, 4, 5, 6, 8)]
+            filters, p, q, own, ids, copies = columns
+            dims = table.column(1).to_numpy()
+            sizes = ends - starts
+            for dim in np.unique(dims[starts]):
+                rows = np.flatnonzero(dims == dim)
+                x = np.zeros((len(dims), dim))
+                vectors = table.column(7).take(pa.array(rows)).combine_chunks()
+                x[rows] = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                few = (dims[starts] == dim) & (sizes > 1) & (sizes <= SMALL) & (p[starts] == q[starts])
+                if few.any():
+                    norms = np.linalg.norm(x, axis=1, keepdims=True)
+                    got = _link_small(x / np.where(norms > 0, norms, 1), x, ids, copies, filters, starts[few], sizes[few], least, codewords)
+                    if got:
+                        yield got
+                for a, b in zip(starts[(dims[starts] == dim) & (sizes > 1) & ~few], ends[(dims[starts] == dim) & (sizes > 1) & ~few], strict=True):
+                    got = large(x[a:b], ids[a:b], copies[a:b], own[a:b], filters[a], p[a], q[a])
+                    if len(got[0]):
+                        yield got
+
+        def cuts_of(table):
+            change = np.zeros(max(0, len(table) - 1), bool)
+            for i in range(5):
+                c = table.column(i).to_numpy()
+                change |= c[1:] != c[:-1]
+            return np.concatenate(([0], np.flatnonzero(change) + 1))
+
+        held: list = []
+        n = 0
+
+        def done(table, last):
+            """Emit all groups, or all but the last one, which may go on in the next batch."""
+            starts = cuts_of(table)
+            ends = np.concatenate((starts[1:], [len(table)]))
+            if not last:
+                starts, ends = starts[:-1], ends[:-1]
+            for got in whole(table, starts, ends) if len(starts) else ():
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["vec", "n", "root"])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:5] != held[0][:5]:
-                    if len(held) > 1 and len((got := flush(held))[0]):
-                        out.append(got)
-                    held = []
-                held.append(row)
-            if len(out) > 200:
-                yield emit()
-        if len(held) > 1 and len((got := flush(held))[0]):
-            out.append(got)
-        if out:
-            yield emit()
+            held.append(batch)
+            n += len(batch)
+            if n >= 20_000:
+                table = pa.Table.from_batches(held)
+                at = int(cuts_of(table)[-1])
+                yield from done(table, False)
+                rest = table.slice(at).combine_chunks()
+                held, n = rest.to_batches(), 0
+        if held:
+            yield from done(pa.Table.from_batches(held), True)
 
     found = scratch.save(blocks.mapInArrow(run, "vec bigint, n bigint, root bigint"))
     linked = found.groupBy("vec").agg(F.sum("n").alias("n"))

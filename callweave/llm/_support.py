@@ -75,6 +75,13 @@ def crc_mod(column: str, by: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
 
 
+def _settled_stars(edges: DataFrame) -> bool:
+    """Whether every a has one b, and no b is an a."""
+    if edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").head(1):
+        return False
+    return not edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").head(1)
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components by alternating large and small stars.
 
@@ -86,12 +93,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     pair = F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")
     loops = edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))
     now = scratch.save(edges.where("a <> b").select(*pair).distinct().select("a", "b"))
-    mark = None
-    while True:
-        n, digest = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if (n, digest) == mark or n == 0:
-            break
-        mark = (n, digest)
+    while not _settled_stars(now):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -104,3 +106,17 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root"))
     return stars.union(roots).union(loops).groupBy("node").agg(F.min("root").alias("root"))
+
+
+def merged_components(found: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """What :func:`components` makes of the edges that ``found`` came from and more edges.
+
+    Only the roots that the new edges tie together are worked on.
+    """
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    root = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    tied = edges.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    tied = tied.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct()
+    moved = components(tied, scratch).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    every = found.unionByName(ends.join(found, "node", "left_anti").withColumn("root", F.col("node")))
+    return every.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))

@@ -7,11 +7,17 @@ some part holds at most k2 = ceil((k + 1) / n1) - 1 of the differences, so some
 n2 - k2 of its pieces are equal in both. A signature is the hash of such a subset
 of pieces; every pair to be found shares one, and no threshold is left to chance.
 
-Sets that share a signature are first compared with the least set of the
-signature only. Where that settles that all of them are connected nothing more
-is done; only sets that are still in different components are compared in pairs.
-So a group of thousands of near copies costs a comparison a member and signature,
-not the square of its size, and no link between components is lost.
+Sets of a signature that few share are compared in pairs, after a bound on their
+difference has parted the unlike ones. Where many share it they are compared with
+the least set of the signature, the pivot, only; that gives the elements in which each differs from it. Members of a
+pivot's group that are not yet connected are settled by these differences alone,
+taken from the set that most members agree on. For x with difference D(x) let
+S(x) = (100 + p) |D(x)| - (100 - p) |x|, p being the percentage: x and y link just
+when S(x) + S(y) <= 2 (100 + p) |D(x) & D(y)|. If their differences share nothing,
+both link with the member of least S too, so one more star finds them; if they
+share an element, a join on the rarest of their differing elements does. Near
+copies mostly differ in elements of their own, so a group of thousands costs a row
+a member and difference, not the square of its size, and no link is lost.
 """
 
 from __future__ import annotations
@@ -22,11 +28,16 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._support import Scratch, arrow_batches, components
+from ._support import Scratch, arrow_batches, components, merged_components
 
 #: Ratio of the largest to the least size of a band, and pieces a part (k2 is 1).
 BAND, PIECES_SMALL, PIECES, SMALL_K = 1.5, 3, 2, 12
 MOST_WORDS = 1 << 18
+#: Tasks that the members of one pivot are dealt to.
+SALTS = 32
+#: Signatures of up to so many sets are compared in pairs.
+FEW = 12
+CELL_BITS = 8
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -118,8 +129,39 @@ def _node(elements) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def spread(elements) -> bytes:
+    """How many elements each of 2 ** CELL_BITS parts of the domain has, up to 255.
+
+    Two sets differ in at least as many elements as their spreads do, summed
+    over the parts: a bound that parts unlike sets without their elements.
+    """
+    import numpy as np
+
+    cells = np.bincount((elements >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
+    return np.minimum(cells, 255).astype(np.uint8).tobytes()
+
+
+def _possible(couples: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The couples (a, b) that sizes and spreads let link."""
+    one = sizes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("spread").alias("x"))
+    two = sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("spread").alias("y"))
+    joined = couples.join(one, "a").where("na > 0").join(two, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 1 << CELL_BITS).astype(np.int16) for i in (4, 5))
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            keep = np.abs(x - y).sum(axis=1) * (100 + percent) <= n * (100 - percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    return joined.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
 def _sets(rows: DataFrame, words: int) -> DataFrame:
-    """_id, _text, n, node: the size and hash of every document's set (node null if empty)."""
+    """_id, _text, n, node, spread: size, hash and spread of every document's set (node null if empty)."""
 
     def run(batches):
         import pyarrow as pa
@@ -128,9 +170,10 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             every = [shingler(text) for text in batch.column(2).to_pylist()]
             sizes, nodes = [len(x) for x in every], [_node(x) if len(x) else None for x in every]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], names=["_id", "_text", "n", "node"])
+            spreads = [spread(x) for x in every]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(spreads, pa.binary())], names=["_id", "_text", "n", "node", "spread"])
 
-    return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, _text bigint, n bigint, node bigint")
+    return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, _text bigint, n bigint, node bigint, spread binary")
 
 
 def _signed(rows: DataFrame, words: int, percent: int) -> DataFrame:
@@ -170,29 +213,92 @@ def _elements(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "node bigint, elements binary")
 
 
-def _linked(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are at least that alike, by exact counts."""
-    first = elements.select(F.col("node").alias("a"), F.col("elements").alias("x"))
-    second = elements.select(F.col("node").alias("b"), F.col("elements").alias("y"))
+def _compared(stars: DataFrame, elements: DataFrame) -> DataFrame:
+    """pivot, node, n_pivot, n, apart and, in groups of several, the differing elements.
+
+    A pivot's set is sent once for each salt of its group, not with each member.
+    """
+    salted = stars.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    heads = salted.select("pivot", "salt").distinct().join(elements, F.col("pivot") == F.col("node"))
+    rows = salted.join(elements, "node").select("pivot", "salt", "node", "many", "elements")
+    rows = rows.unionByName(heads.select("pivot", "salt", F.lit(None).cast("bigint").alias("node"), F.lit(False).alias("many"), "elements"))
+    rows = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("node").asc_nulls_first())
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        head = np.empty(0, np.uint64)
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
+            pivots, nodes, sizes, own, apart, differ = [], [], [], [], [], []
+            for pivot, node, many, data in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                x = np.frombuffer(data, np.uint64)
+                if node is None:
+                    head = x
                     continue
-                both = np.concatenate((x, y))
+                both = np.concatenate((head, x))
                 both.sort(kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= percent * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                twice = both[1:] == both[:-1]
+                alone = np.ones(len(both), bool)
+                alone[1:] &= ~twice
+                alone[:-1] &= ~twice
+                difference = both[alone]
+                pivots.append(pivot)
+                nodes.append(node)
+                sizes.append(len(head))
+                own.append(len(x))
+                apart.append(len(difference))
+                differ.append(difference.view(np.int64) if many else None)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((pivots, nodes, sizes, own, apart, differ), (*[pa.int64()] * 5, pa.list_(pa.int64())), strict=True)], names=["pivot", "node", "n_pivot", "n", "apart", "differ"])
+
+    return rows.mapInArrow(run, "pivot bigint, node bigint, n_pivot bigint, n bigint, apart bigint, differ array<bigint>")
 
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+def _settled(compared: DataFrame, found: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Components after the links within groups whose members the pivots alone don't connect.
+
+    ``found`` has the components that links with pivots make.
+    """
+
+    def parts(rows: DataFrame, found: DataFrame) -> DataFrame:
+        return rows.join(found, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+
+    members = compared.where("differ IS NOT NULL").select("pivot", "node", "n", "differ")
+    placed = parts(members.drop("differ"), found)
+    open_ = scratch.save(placed.groupBy("pivot").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("m")).where("p < q").select("pivot", (F.col("m") + 1).alias("m")))
+    itself = compared.where("differ IS NOT NULL").groupBy("pivot").agg(F.first("n_pivot").alias("n")).select("pivot", F.col("pivot").alias("node"), "n", F.array().cast("array<bigint>").alias("differ"))
+    group = members.unionByName(itself).join(open_.select("pivot"), "pivot", "left_semi")
+
+    usual = group.select("pivot", F.explode("differ").alias("e")).groupBy("pivot", "e").count().join(open_, "pivot").where("2 * count > m")
+    flips = usual.groupBy("pivot").agg(F.collect_list("e").alias("flip"))
+    none = F.array().cast("array<bigint>")
+    turned = group.join(flips, "pivot", "left").withColumn("flip", F.coalesce("flip", none))
+    differ = F.concat(F.array_except("differ", "flip"), F.array_except("flip", "differ"))
+    turned = turned.select("pivot", "node", "n", differ.alias("differ")).withColumn("s", (100 + percent) * F.size("differ").cast("long") - (100 - percent) * F.col("n"))
+    turned = scratch.save(turned)
+    best = turned.groupBy("pivot").agg(F.min(F.struct("s", "node")).alias("best"))
+    star = turned.join(best, "pivot").where("s + best.s <= 0 AND node <> best.node").select(F.col("best.node").alias("a"), F.col("node").alias("b"))
+    star = scratch.save(star.distinct())
+
+    found = scratch.save(merged_components(found, star, scratch))
+    # Linked sets differ in k elements at most, so all but k of x's differences are y's too: among the k + 1
+    # of x that fewest members share, and those of y, one is the same.
+    placed = scratch.save(parts(turned, found))
+    apart = F.floor(F.lit((100 - percent) / (100 + percent)) * F.col("n") * (1 + 100 / percent) + 1e-6).cast("int") + 1
+    each = placed.select("pivot", "node", apart.alias("k"), F.explode("differ").alias("e"))
+    shares = F.count("*").over(Window.partitionBy("pivot", "e"))
+    rarest = F.row_number().over(Window.partitionBy("pivot", "node").orderBy("shares", "e"))
+    first = each.withColumn("shares", shares).withColumn("nth", rarest).where("nth <= k AND shares > 1").select("pivot", "node", "e")
+    first = first.join(placed.select("pivot", "node", "part"), ["pivot", "node"])
+    mixed = first.groupBy("pivot", "e").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("pivot", "e")
+    first = scratch.save(first.join(mixed, ["pivot", "e"], "left_semi"))
+    left = first.select("pivot", "e", F.col("node").alias("a"), F.col("part").alias("pa"))
+    right = first.select("pivot", "e", F.col("node").alias("b"), F.col("part").alias("pb"))
+    met = left.join(right, ["pivot", "e"]).where("a < b AND pa <> pb").select("pivot", "a", "b").distinct()
+    side = lambda own, d, s: placed.select("pivot", F.col("node").alias(own), F.col("differ").alias(d), F.col("s").alias(s))
+    met = met.join(side("a", "da", "sa"), ["pivot", "a"]).join(side("b", "db", "sb"), ["pivot", "b"]).withColumn("t", F.size(F.array_intersect("da", "db")))
+    more = scratch.save(met.where(f"sa + sb <= {2 * (100 + percent)} * t").select("a", "b").distinct())
+    return merged_components(found, more, scratch)
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,27 +320,32 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     sets = scratch.save(_sets(rows, words))
 
     by = Window.partitionBy("signature")
-    shared = _signed(rows, words, percent).select("signature", "node", F.min("node").over(by).alias("least"), F.max("node").over(by).alias("most"))
-    shared = scratch.save(shared.where("least < most").drop("most"))
-    stars = scratch.save(shared.where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+    nth = F.dense_rank().over(by.orderBy("node"))  # copies in several tasks count once
+    shared = _signed(rows, words, percent).select("signature", "node", F.min("node").over(by).alias("pivot"), nth.alias("nth"))
+    shared = scratch.save(shared.select("signature", "node", "pivot", F.max("nth").over(by).alias("m")).where("m > 1"))
+    stars = shared.where(f"node > pivot AND m > {FEW}").select("pivot", "node").distinct().withColumn("many", F.lit(True))
+    stars = scratch.save(stars)
+    few = shared.where(f"m <= {FEW}").groupBy("signature").agg(F.array_sort(F.collect_set("node")).alias("ns"))
+    couples = F.expr("explode(flatten(transform(slice(ns, 2, size(ns)), (x, i) -> transform(slice(ns, i + 3, size(ns)), y -> struct(x AS a, y AS b)))))")
+    couples = scratch.save(few.select(couples.alias("c")).select("c.a", "c.b").distinct())
+    scratch.drop(shared)
 
     # one text for each set that has a partner
-    needed = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+    known = sets.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("spread").alias("spread"))
+    couples = scratch.save(_possible(couples, known, percent))
+    needed = stars.select(F.col("pivot").alias("node")).union(stars.select("node")).union(couples.select("a")).union(couples.select("b")).distinct()
     holder = sets.where("n > 0").groupBy("node").agg(F.min(F.struct("_id", "_text")).alias("h")).join(needed, "node", "left_semi")
     holder = holder.select("node", F.col("h._id").alias("_of"), F.col("h._text").alias("_of_text"))
     texts = rows.join(holder, (F.col("_text") == F.col("_of_text")) & F.col("_id").eqNullSafe(F.col("_of"))).select("node", "_bytes").dropDuplicates(["node"])
     elements = scratch.save(_elements(texts, words))
 
-    links = scratch.save(_linked(stars, elements, percent))
+    compared = scratch.save(_compared(stars, elements))
+    pairs = scratch.save(_compared(couples.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.lit(False).alias("many")), elements).drop("differ"))
+    scratch.drop(elements)
+    near = F.col("apart") * (100 + percent) <= (F.col("n") + F.col("n_pivot")) * (100 - percent)
+    links = scratch.save(compared.drop("differ").unionByName(pairs).where(near).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
     found = scratch.save(components(links, scratch))
-    placed = shared.join(found, "node", "left").select("signature", "node", F.coalesce("root", "node").alias("part"))
-    open_ = placed.groupBy("signature").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("node").alias("u"), F.max("node").alias("v"), F.count("*").alias("m")).where("p < q AND m > 2").select("signature")
-    rest = scratch.save(placed.join(open_, "signature", "left_semi").distinct())
-    scratch.drop(shared)
-    left, right = rest.select("signature", F.col("node").alias("a"), F.col("part").alias("pa")), rest.select("signature", F.col("node").alias("b"), F.col("part").alias("pb"))
-    pairs = left.join(right, "signature").where("a < b AND pa <> pb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = scratch.save(_linked(pairs, elements, percent))
-    final = scratch.save(components(links.union(more), scratch))
+    final = scratch.save(_settled(compared, found, percent, scratch))
 
     labelled = sets.join(final, "node", "left").withColumn("_group", F.coalesce("root", "node"))
     labelled = scratch.save(labelled.select("_id", "_text", "n", "_group"))

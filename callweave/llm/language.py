@@ -269,10 +269,12 @@ class Tagger:
 
     def languages(self, texts: list[bytes]) -> list[tuple[str, float]]:
         """The language most of a text's words are expected to be in, and that share of them."""
+        if not self.model.labels:
+            return [(UNKNOWN, 0.0)] * len(texts)
         bounds, found = self.posteriors(texts)
         out = []
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if a == b or not self.model.labels:
+            if a == b:
                 out.append((UNKNOWN, 0.0))
             else:
                 mean = found[a:b].mean(axis=0)

@@ -145,13 +145,15 @@ def take_copies(docs: DataFrame, share: float = 1.5) -> DataFrame:
 
     Rows equal in doc_id and text share their copies evenly.
     """
-    mixed = mix_sources(docs, share).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string"), F.lit(0)))
-    joined = keyed.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")))
-    rest = joined.where("_n > 1").withColumn("_i", F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("source")))
-    mine = F.floor(F.col("_copies") / F.col("_n")) + (F.col("_i") <= F.col("_copies") % F.col("_n")).cast("long")
-    every = joined.where("_n = 1").withColumn("_i", F.lit(1)).withColumn("_c", F.col("_copies").cast("long")).unionByName(rest.withColumn("_c", mine.cast("long")))
-    return every.where("_c > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int")))).select(*docs.columns)
+    mixed = mix_sources(docs, share).groupBy(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_text")).agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    # whole rows in one column, so that no name of docs can clash
+    keyed = docs.select(F.col("doc_id").alias("key"), F.xxhash64(F.col("text").cast("string"), F.lit(0)).alias("key_text"), F.col("source").alias("by"), F.struct(*docs.columns).alias("row"))
+    joined = keyed.join(mixed, F.col("key").eqNullSafe(F.col("of")) & (F.col("key_text") == F.col("of_text")))
+    nth = F.row_number().over(Window.partitionBy("key", "key_text").orderBy("by"))
+    rest = joined.where("n > 1").withColumn("nth", nth)
+    mine = (F.floor(F.col("copies") / F.col("n")) + (F.col("nth") <= F.col("copies") % F.col("n")).cast("long")).cast("long")
+    every = joined.where("n = 1").select("row", F.col("copies").cast("long").alias("c")).unionByName(rest.select("row", mine.alias("c")))
+    return every.where("c > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("c").cast("int")))).select("row.*")
 
 
 def op3_entropy_mix(spark, sf_dir: str) -> DataFrame:

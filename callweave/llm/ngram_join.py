@@ -326,7 +326,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     stars = shared.where(f"node > pivot AND m > {FEW}").select("pivot", "node").distinct().withColumn("many", F.lit(True))
     stars = scratch.save(stars)
     few = shared.where(f"m <= {FEW}").groupBy("signature").agg(F.array_sort(F.collect_set("node")).alias("ns"))
-    couples = F.expr("explode(flatten(transform(slice(ns, 2, size(ns)), (x, i) -> transform(slice(ns, i + 3, size(ns)), y -> struct(x AS a, y AS b)))))")
+    couples = F.expr("explode(flatten(transform(ns, (x, i) -> transform(slice(ns, i + 2, size(ns)), y -> struct(x AS a, y AS b)))))")
     couples = scratch.save(few.select(couples.alias("c")).select("c.a", "c.b").distinct())
     scratch.drop(shared)
 
@@ -362,9 +362,10 @@ def keep_one_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     found = jaccard_components(docs, words, percent).where("n_shingles > 0 AND doc_id <=> component_id")
     chosen = found.groupBy(F.col("doc_id").alias("_of")).agg(F.min("text_hash").alias("_of_text"))
-    keyed = docs.withColumn("_text", F.xxhash64(text)).withColumn("_words", F.regexp_like(text.cast("string"), F.lit(r"[^\x20\x09-\x0D]")))
-    kept = keyed.where("_words").join(chosen, F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("_text") == F.col("_of_text"))).dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(keyed.where("NOT _words").select(*docs.columns))
+    # whole rows in one column, so that no name of docs can clash
+    keyed = docs.select(F.col("doc_id").alias("key"), F.xxhash64(text).alias("key_text"), F.regexp_like(text.cast("string"), F.lit(r"[^\x20\x09-\x0D]")).alias("words"), F.struct(*docs.columns).alias("row"))
+    kept = keyed.where("words").join(chosen, F.col("key").eqNullSafe(F.col("_of")) & (F.col("key_text") == F.col("_of_text"))).dropDuplicates(["key"])
+    return kept.select("row.*").unionByName(keyed.where("NOT words").select("row.*"))
 
 
 def op4_partenum(spark, sf_dir: str) -> DataFrame:

@@ -119,8 +119,8 @@ def test_mixing(spark, odd, odd_rows):
         assert r.target == pytest.approx(target[r.source]) and r.source_size == sizes[r.source]
         taken[r.source] += r.taken
     assert Counter((r.doc_id, r.size) for r in rows) == Counter((i, size_of(t)) for i, t, *_ in odd_rows)
-    longest = max(size_of(t) for _, t, *_ in odd_rows)
-    assert all(abs(taken[s] - target[s]) <= min(longest, 60) for s in order if sizes[s])
+    longest = {s: max(size_of(t) for _, t, _, x in odd_rows if x == s) for s in order}
+    assert all(abs(taken[s] - target[s]) <= longest[s] for s in order if sizes[s])
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_sources(odd.repartition(3)).collect()))
     assert mixing.mix_sources(odd.limit(0)).count() == 0
     copies = Counter()

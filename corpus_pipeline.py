@@ -47,11 +47,15 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, after a round trip through the decoder."""
+    """Token ids of every text and the sha256 of what the decoder makes of them; a text that doesn't come back raises."""
     import public_tokenizers
 
-    coded = encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("lang", "source"))
-    return coded.withColumn("n_tokens", F.size("ids").cast("long"))
+    digest = lambda c: F.sha2(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary"), 256)
+    docs = docs.withColumn("text_sha256", digest("text"))
+    coded = encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decode=True, keep=("lang", "source", "text_sha256"))
+    lost = F.raise_error(F.concat(F.lit("decoded text differs from the text of doc_id "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    back = F.when(digest("decoded") == F.col("text_sha256"), F.col("text_sha256")).otherwise(lost)
+    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), back.alias("decoded_sha256"))
 
 
 STAGES = [("toxicity", toxicity), ("line dedup", line_dedup), ("near duplicates", near_duplicates), ("mixing", mixing), ("tokens", tokens)]

@@ -1,10 +1,12 @@
 """The pipeline's stages on a small corpus, and its queries' SQL."""
 
+import hashlib
 import random
 from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -52,6 +54,19 @@ def test_stages(spark, corpus):
     assert Counter(r.doc_id for r in p.run(spark, d).collect()) == Counter(r.doc_id for r in kept[4])
 
 
+def test_tokens_decode_to_the_text(spark, monkeypatch):
+    import corpus_pipeline as p
+
+    rows = [(1, "Grüße,  \tworld\n", "de", "s0", 0), (2, None, None, None, None), (3, "", "en", "s0", 0), (None, "日本 🙂 e\u0301 \x00", "ja", "s1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.decoded_sha256 for r in p.tokens(spark, docs, "").collect()}
+    assert got == {i: hashlib.sha256((text or "").encode()).hexdigest() for i, text, *_ in rows}
+    wrong, encode = F.expr("if(doc_id = 1, concat(decoded, '.'), decoded)"), p.encode_texts
+    monkeypatch.setattr(p, "encode_texts", lambda *a, **k: encode(*a, **k).withColumn("decoded", wrong))
+    with pytest.raises(Exception, match="differs from the text of doc_id 1"):
+        p.tokens(spark, docs, "").collect()
+
+
 @pytest.mark.skipif(not DATA.is_dir(), reason="no tables")
 @pytest.mark.parametrize("name", ["op2_line_runs", "op4_partenum", "op5_cap_filters", "op9_chat_template"])
 def test_sql(spark, name):

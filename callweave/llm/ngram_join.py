@@ -301,17 +301,8 @@ def _settled(compared: DataFrame, found: DataFrame, percent: int, scratch: Scrat
     return merged_components(found, more, scratch)
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Components of documents linked by shingle sets at least ``percent`` alike.
-
-    Returns one row for each row of ``docs``: id_col, text_hash (xxhash64 of the
-    text's bytes), n_shingles, component_id (the least id reachable by links,
-    its own included). A text of fewer words than a shingle is one element; a
-    null text, or one without words, has none and links with nothing, not even
-    its copies. Repeated rows and equal sets link. An empty table gives an empty
-    table; other columns are ignored. Sets are told apart by a 64-bit hash of
-    their elements.
-    """
+def _labelled(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """_id, _text, n, _group for each row of docs, _group being the key of its component (null without words)."""
     spark = docs.sparkSession
     arrow_batches(spark)
     scratch = Scratch(spark, "ngrams")
@@ -348,23 +339,40 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     final = scratch.save(_settled(compared, found, percent, scratch))
 
     labelled = sets.join(final, "node", "left").withColumn("_group", F.coalesce("root", "node"))
-    labelled = scratch.save(labelled.select("_id", "_text", "n", "_group"))
+    return scratch.save(labelled.select("_id", "_text", "n", "_group"))
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Components of documents linked by shingle sets at least ``percent`` alike.
+
+    Returns one row for each row of ``docs``: id_col, text_hash (xxhash64 of the
+    text's bytes), n_shingles, component_id (the least id reachable by links,
+    its own included). A text of fewer words than a shingle is one element; a
+    null text, or one without words, has none and links with nothing, not even
+    its copies. Repeated rows and equal sets link. An empty table gives an empty
+    table; other columns are ignored. Sets are told apart by a 64-bit hash of
+    their elements.
+    """
+    labelled = _labelled(docs, words, percent, id_col, text_col)
     least = labelled.where("n > 0").groupBy("_group").agg(F.min("_id").alias("_least"))
     out = labelled.join(least, "_group", "left")
     return out.select(F.col("_id").alias(id_col), F.col("_text").alias("text_hash"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_least")).otherwise(F.col("_id")).alias("component_id"))
 
 
 def keep_one_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Documents without near copies: of each component the least doc_id stays, with all columns.
+    """Documents without near copies: of each component one row stays, with all columns.
 
-    Of rows equal in doc_id and component one stays. Documents without words all stay.
+    It is a row of the least doc_id, of several texts the one of least hash; a
+    null doc_id stays only where the component has no other. Documents without
+    words all stay.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    found = jaccard_components(docs, words, percent).where("n_shingles > 0 AND doc_id <=> component_id")
-    chosen = found.groupBy(F.col("doc_id").alias("_of")).agg(F.min("text_hash").alias("_of_text"))
+    found = _labelled(docs, words, percent, "doc_id", "text").where("n > 0")
+    chosen = found.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_text")).alias("h"))
+    chosen = chosen.select(F.col("h._id").alias("_of"), F.col("h._text").alias("_of_text"))
     # whole rows in one column, so that no name of docs can clash
     keyed = docs.select(F.col("doc_id").alias("key"), F.xxhash64(text).alias("key_text"), F.regexp_like(text.cast("string"), F.lit(r"[^\x20\x09-\x0D]")).alias("words"), F.struct(*docs.columns).alias("row"))
-    kept = keyed.where("words").join(chosen, F.col("key").eqNullSafe(F.col("_of")) & (F.col("key_text") == F.col("_of_text"))).dropDuplicates(["key"])
+    kept = keyed.where("words").join(chosen, F.col("key").eqNullSafe(F.col("_of")) & (F.col("key_text") == F.col("_of_text"))).dropDuplicates(["key", "key_text"])
     return kept.select("row.*").unionByName(keyed.where("NOT words").select("row.*"))
 
 

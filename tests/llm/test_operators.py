@@ -192,6 +192,16 @@ def test_ngram_join(spark, odd_rows, words, percent):
     assert sorted(r.doc_id for r in kept.where("text rlike '[^ \t\n]' and doc_id is not null").collect()) == sorted(expected)
 
 
+def test_one_of_each_component_stays(spark):
+    text = lambda c, n=30: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(None, text("a"), "s0", None), (None, text("a"), "s1", None), (None, text("b"), None, None), (None, text("c"), None, None)]
+    rows += [(1, text("d"), None, None), (1, text("e"), None, None), (1, text("e", 29), None, None), (2, text("e"), None, None), (2, text("f"), None, None)]
+    rows += [(None, text("f"), None, None), (3, text("f", 29), None, None), (None, None, None, None), (4, " ", None, None)]
+    kept = ngram_join.keep_one_each(documents(spark, rows)).collect()
+    got = Counter((r.doc_id, (r.text or " ")[0]) for r in kept)
+    assert got == Counter([(None, "a"), (None, "b"), (None, "c"), (1, "d"), (1, "e"), (2, "f"), (None, " "), (4, " ")])
+
+
 def test_signatures_meet(spark):
     rng = np.random.default_rng(0)
     for size in (1, 2, 5, 11, 40, 300):

@@ -29,10 +29,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of 10 or more documents go; a document of which nothing is left goes too."""
+    """Lines of 10 or more documents go; every document stays, be its text empty then."""
     kept = drop_common_lines(docs, keep=("lang", "source"))
-    # a text that was empty before is not the stage's to drop
-    kept = kept.where((F.col("n_dropped") == 0) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -54,6 +54,15 @@ def test_stages(spark, corpus):
     assert Counter(r.doc_id for r in p.run(spark, d).collect()) == Counter(r.doc_id for r in kept[4])
 
 
+def test_line_dedup_keeps_every_document(spark):
+    import corpus_pipeline as p
+
+    rows = [(i, "the same\nlicense", "en", "s0", 16) for i in range(10)] + [(10, "the same\nown line", "en", "s1", 17), (11, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in p.line_dedup(spark, docs, "").collect()}
+    assert got == dict.fromkeys(range(10), ("", 0)) | {10: ("own line", 8), 11: ("", 0)}
+
+
 def test_tokens_decode_to_the_text(spark, monkeypatch):
     import corpus_pipeline as p
 

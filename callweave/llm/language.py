@@ -28,42 +28,65 @@ UNKNOWN = "und"
 MOST_ROWS, MOST_A_LANGUAGE, MOST_CHARS = 4000, 150, 20_000
 LEXICON, SEQUENCES, LENGTH, STEPS, RATE, DECAY = 200, 1200, 48, 60, 0.4, 1e-4
 MOST_WORDS = 400_000
+#: Code points that features are taken of at once.
+MOST_POINTS = 1 << 17
+#: Words up to this length are hashed point after point, longer ones as a sum.
+CHAINED = 32
 SEED = 11
 _LETTER = re.compile(r"[^\W\d_]")
 _EDGES = " \t\n\x0b\x0c\r.,;:!?\"'()[]{}<>|*#$%&-_~`/\\+=0123456789"
 
 
+def place_sums(points, start: int):
+    """For each row the sum of its code points, each mixed with its place in the word."""
+    import numpy as np
+
+    h = (points ^ (np.arange(start + 1, start + 1 + points.shape[1], dtype=np.uint64) << np.uint64(21))) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    return (h * np.uint64(0xBF58476D1CE4E5B9)).sum(axis=1, dtype=np.uint64)
+
+
 def feature_ids(words: list[str]):
-    """For each length: (indices of words, ids of their hashed features)."""
+    """By length: (indices of words, ids of their hashed features). A long word comes in several parts, a window each."""
     import numpy as np
 
     by: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        by.setdefault(min(len(w), 32), []).append(i)
-    for n, at in by.items():
-        # a longer word keeps its beginning and end, where affixes are
-        text = "".join([words[i] if len(words[i]) <= 32 else words[i][:16] + words[i][-16:] for i in at])
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.uint64)
-        edge = np.ones((len(at), 1), np.uint64)
-        x = np.concatenate((edge, points, edge), axis=1)
-        columns = []
-
-        def add(kind, *parts):
-            h = np.full(parts[0].shape, kind, np.uint64)
-            for p in parts:
-                h = (h ^ p) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            columns.append((h >> np.uint64(64 - BITS)).astype(np.int32))
-
-        for k in range(1, 4):
-            if n >= k:
-                add(2 * k, *(points[:, i : i + 1] for i in range(k)))
-                add(2 * k + 1, *(points[:, n - 1 - i : n - i] for i in range(k)))
-        add(8, x[:, :-1], x[:, 1:])
-        if x.shape[1] > 2:
-            add(9, x[:, :-2], x[:, 1:-1], x[:, 2:])
-        add(10, *(points[:, i : i + 1] for i in range(n)))
-        yield np.array(at), np.concatenate(columns, axis=1)
+        by.setdefault(len(w), []).append(i)
+    for n, every in by.items():
+        step = max(1, MOST_POINTS // n)
+        for at, a in ((every[i : i + step], a) for i in range(0, len(every), step) for a in range(0, n, MOST_POINTS)):
+            b = min(a + MOST_POINTS, n)
+            # the window's points with one before it and one after it; n-grams that begin in it are its own
+            text = "".join([words[i][max(0, a - 1) : b + 1] for i in at])
+            x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), -1).astype(np.uint64)
+            edge = np.ones((len(at), 1), np.uint64)
+            x = np.concatenate(([edge] if a == 0 else []) + [x] + ([edge] if b == n else []), axis=1)
+            columns = []
+
+            def add(kind, *parts):
+                h = np.full(parts[0].shape, kind, np.uint64)
+                for p in parts:
+                    h = (h ^ p) * np.uint64(0x9E3779B97F4A7C15)
+                    h ^= h >> np.uint64(29)
+                columns.append((h >> np.uint64(64 - BITS)).astype(np.int32))
+
+            if a == 0:
+                tail = np.frombuffer("".join([words[i][-3:] for i in at]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), -1).astype(np.uint64)
+                for k in range(1, min(n, 3) + 1):
+                    add(2 * k, *(x[:, i + 1 : i + 2] for i in range(k)))
+                    add(2 * k + 1, *(tail[:, tail.shape[1] - 1 - i : tail.shape[1] - i] for i in range(k)))
+            pairs = b - a + (b == n)  # the last window has the pair of the last point and the edge
+            add(8, x[:, :pairs], x[:, 1 : pairs + 1])
+            add(9, x[:, : b - a], x[:, 1 : b - a + 1], x[:, 2 : b - a + 2])
+            own = x[:, 1 : b - a + 1]
+            if n <= CHAINED:
+                add(10, *(own[:, i : i + 1] for i in range(n)))
+            else:  # the word itself, point by place, so that windows add up
+                total = place_sums(own, a) + (total if a else np.uint64(0))
+                if b == n:
+                    add(10, total[:, None])
+            yield np.array(at), np.concatenate(columns, axis=1)
 
 
 class Model:
@@ -85,7 +108,7 @@ class Model:
 
         out = np.zeros((len(words), len(self.labels)), np.float32)
         for at, ids in feature_ids(words):
-            out[at] = self.weights[ids].sum(axis=1)
+            out[at] += self.weights[ids].sum(axis=1)
         for i, w in enumerate(words):
             if bits := self.lexicon.get(w):
                 out[i] += self.in_lexicon[[j for j in range(len(self.labels)) if bits >> j & 1]].sum(axis=0)
@@ -240,10 +263,10 @@ class Tagger:
         self.model, self.known = model, {}
         self.table = np.zeros((0, len(model.labels)), np.float32)
 
-    def _learn(self, fresh: list[bytes]) -> None:
+    def _learn(self, fresh: list[str]) -> None:
         import numpy as np
 
-        words = [t.decode("utf-8", "replace").lower().strip(_EDGES) for t in fresh]
+        words = [t.lower().strip(_EDGES) for t in fresh]
         with_letter = [i for i, w in enumerate(words) if _LETTER.search(w)]
         n = len(self.table)
         self.table = np.concatenate((self.table, self.model.emissions([words[i] for i in with_letter])))
@@ -256,7 +279,7 @@ class Tagger:
 
         if len(self.known) > MOST_WORDS:
             self.known, self.table = {}, self.table[:0]
-        split = [t.split() for t in texts]
+        split = [t.decode("utf-8", "replace").split() for t in texts]
         self._learn(list(set().union(*split) - self.known.keys()))
         get = self.known.__getitem__
         rows = [np.fromiter(map(get, words), np.int64, len(words)) for words in split]

@@ -309,6 +309,46 @@ def test_language(spark, odd_rows):
     assert language.identify(documents(spark, rows).limit(0)).count() == 0
 
 
+def _plain_features(word):
+    """Features of one word, an n-gram at a time."""
+    def hashed(kind, *parts):
+        h = kind
+        for p in parts:
+            h = (h ^ p) * 0x9E3779B97F4A7C15 % 2**64
+            h ^= h >> 29
+        return h >> 64 - language.BITS
+
+    p = [ord(c) for c in word]
+    x = [1, *p, 1]
+    ends = [f for k in range(1, min(3, len(p)) + 1) for f in (hashed(2 * k, *p[:k]), hashed(2 * k + 1, *p[::-1][:k]))]
+    if len(p) > 32:
+        mixed = [(c ^ i << 21) * 0x9E3779B97F4A7C15 % 2**64 for i, c in enumerate(p, 1)]
+        p = [sum((h ^ h >> 29) * 0xBF58476D1CE4E5B9 for h in mixed) % 2**64]
+    return Counter(ends + [hashed(10, *p)] + [hashed(7 + n - 1, *x[i : i + n]) for n in (2, 3) for i in range(len(x) - n + 1)])
+
+
+def test_features_of_whole_words(monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdé日") for _ in range(n)) for n in (1, 2, 3, 31, 32, 33, 64, 64, 65, 66, 300)]
+    for most in (language.MOST_POINTS, 64):  # in one piece, and in windows
+        monkeypatch.setattr(language, "MOST_POINTS", most)
+        got = [Counter() for _ in words]
+        for at, ids in language.feature_ids(words):
+            for i, row in zip(at, ids.tolist(), strict=True):
+                got[i].update(row)
+        assert got == [_plain_features(w) for w in words]
+
+
+def test_language_of_unspaced_texts(spark):
+    rng = random.Random(9)
+    stems = {"aa": ["kar", "lun", "mip"], "bb": ["oso", "uvi", "ezu"]}
+    words = lambda g, n: ["".join(rng.choice(stems[g]) for _ in range(3)) for _ in range(n)]
+    rows = [(i, " ".join(words(g, 30)), g, None) for i, g in enumerate(["aa", "bb"] * 40)]
+    rows += [(900 + i, gap.join(words("bb", 2) + words("aa", 40) + words("bb", 2)), None, None) for i, gap in enumerate(["", "\u00a0", "\u3000"])]
+    got = {r.doc_id: r.lang_pred for r in language.identify(documents(spark, rows)).collect()}
+    assert [got[900 + i] for i in range(3)] == ["aa"] * 3
+
+
 def test_marginals_are_forward_backward():
     rng = np.random.default_rng(0)
     e, a, pi = rng.normal(size=(83, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)

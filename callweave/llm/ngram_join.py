@@ -42,10 +42,9 @@ MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
 def bands_of(size: int, percent: int) -> list[int]:
-    """Instances that a set of this size takes part in: its band, and the one below if a set there may link."""
-    own = int(math.floor(math.log(size, BAND) + 1e-9))
-    least = -(-percent * size // 100)  # no smaller set links with it
-    return [own] if int(math.floor(math.log(least, BAND) + 1e-9)) == own else [own - 1, own]
+    """Instances that a set of this size takes part in: the bands of all sets up to it that may link with it."""
+    band = lambda n: int(math.floor(math.log(n, BAND) + 1e-9))
+    return list(range(band(-(-percent * size // 100)), band(size) + 1))
 
 
 def most_apart(band: int, percent: int) -> int:

@@ -214,6 +214,15 @@ def test_signatures_meet(spark):
                     assert set(ngram_join.signatures(x, percent)) & set(ngram_join.signatures(y, percent))
 
 
+@pytest.mark.parametrize("percent", [90, 67, 50, 34, 20])
+def test_sets_of_far_sizes_share_a_signature(percent):
+    rng = np.random.default_rng(percent)
+    for small in range(1, 120):
+        x = np.unique(rng.integers(0, 2**64, small * 100 // percent, np.uint64))
+        one, two = (set(ngram_join.signatures(v, percent).tolist()) for v in (np.sort(rng.permutation(x)[:small]), x))
+        assert one & two
+
+
 def test_empty_ngram_join(spark, odd):
     assert ngram_join.jaccard_components(odd.limit(0)).count() == 0
 

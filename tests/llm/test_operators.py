@@ -397,6 +397,15 @@ def test_toxicity(spark):
     assert toxicity.score_documents(documents(spark, rows).limit(0), known).count() == 0
 
 
+def test_runs_of_letters_with_any_gaps():
+    runs = lambda text: [t.decode() for t in toxicity.tokens_of(text.encode())][len(text.encode().split()) :]
+    assert runs("z w \u00ef x x e r") == ["zw\u00efxxer"]
+    assert runs("so z w i\u0308 x x e r go") == ["zwi\u0308xxer", "sozwi\u0308xxergo"]
+    assert runs("the zw ix\txe r then") == ["zwixxer"]
+    assert runs("z  w\ti\nx\u00a0x e\u3000r") == ["zwixxer"]
+    assert runs("\u00f6 \u00e9 \u00fc und 1 2 3 a b") == ["\u00f6\u00e9\u00fc"]
+
+
 def test_bpe(spark, odd, odd_rows):
     tiktoken = pytest.importorskip("tiktoken")
     with open(RANKS, "rb") as f:

@@ -33,13 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one operator run, written once and read again."""
+    """Tables of one operator run, written once and read again.
+
+    What isn't dropped before is deleted when the application ends.
+    """
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
         self._n = 0
+        path = self._path(self.root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(name)
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write df as Parquet and read it again: the lineage ends there."""
@@ -47,15 +54,13 @@ class Scratch:
         path = f"{self.root}/{self._n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+            path = self._path(df._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -75,6 +80,39 @@ def crc_mod(column: str, by: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
 
 
+def whole_groups(batches, keys: int, rows: int = 20_000):
+    """(table, starts, ends) of whole groups; rows come sorted by the first ``keys`` columns, whole numbers.
+
+    A table has more than ``rows`` rows only if its last group needs it.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def starts_of(table):
+        change = np.zeros(max(0, len(table) - 1), bool)
+        for i in range(keys):
+            c = table.column(i).to_numpy()
+            change |= c[1:] != c[:-1]
+        return np.concatenate(([0], np.flatnonzero(change) + 1))
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            starts = starts_of(table)
+            if len(starts) > 1:
+                yield table.slice(0, int(starts[-1])), starts[:-1], starts[1:]
+            rest = table.slice(int(starts[-1]))
+            # a group that goes on is looked at again only when there is as much more of it
+            held, n = rest.to_batches(), 0
+    if held and sum(map(len, held)):
+        table = pa.Table.from_batches(held).combine_chunks()
+        starts = starts_of(table)
+        yield table, starts, np.concatenate((starts[1:], [len(table)]))
+
+
 def _settled_stars(edges: DataFrame) -> bool:
     """Whether every a has one b, and no b is an a."""
     if edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").head(1):

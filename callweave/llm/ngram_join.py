@@ -7,37 +7,40 @@ some part holds at most k2 = ceil((k + 1) / n1) - 1 of the differences, so some
 n2 - k2 of its pieces are equal in both. A signature is the hash of such a subset
 of pieces; every pair to be found shares one, and no threshold is left to chance.
 
-Sets of a signature that few share are compared in pairs, after a bound on their
-difference has parted the unlike ones. Where many share it they are compared with
-the least set of the signature, the pivot, only; that gives the elements in which each differs from it. Members of a
-pivot's group that are not yet connected are settled by these differences alone,
-taken from the set that most members agree on. For x with difference D(x) let
-S(x) = (100 + p) |D(x)| - (100 - p) |x|, p being the percentage: x and y link just
-when S(x) + S(y) <= 2 (100 + p) |D(x) & D(y)|. If their differences share nothing,
-both link with the member of least S too, so one more star finds them; if they
-share an element, a join on the rarest of their differing elements does. Near
-copies mostly differ in elements of their own, so a group of thousands costs a row
-a member and difference, not the square of its size, and no link is lost.
+Sets that share a signature are compared in two steps, neither of which lists the
+pairs of a group. First each is compared with the group's pivot only, the member
+whose spread (how many elements each part of the domain has) is nearest to the
+mean of all: for a group of near copies that is the text that they derive from,
+or one like it. A bound on differences that follows from the spreads parts unlike
+sets before their elements are read. Then members that are not yet connected are
+compared with each other by that bound alone, inside a task, and only the pairs
+that it lets pass and that would connect something are verified. So a group of
+thousands of near copies costs a row a member, and no link is lost. Groups too
+large for a task are cut into chunks: each has a pivot, the pivots are compared as
+a group of their own, and two chunks of one component never meet.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from itertools import combinations, count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._support import Scratch, arrow_batches, components, merged_components
+from ._support import Scratch, arrow_batches, components, merged_components, whole_groups
 
 #: Ratio of the largest to the least size of a band, and pieces a part (k2 is 1).
 BAND, PIECES_SMALL, PIECES, SMALL_K = 1.5, 3, 2, 12
 MOST_WORDS = 1 << 18
 #: Tasks that the members of one pivot are dealt to.
 SALTS = 32
-#: Signatures of up to so many sets are compared in pairs.
-FEW = 12
-CELL_BITS = 8
+#: The most members of a group that a task holds at once.
+CHUNK = 4096
+#: Parts of the domain, as bits, that spreads count; and how many of them stand together in the coarse ones.
+CELL_BITS, COARSE = 8, 16
+#: Up to so many sets (40 bytes each) the texts that are needed again are found by a broadcast, beyond by a shuffle.
+BROADCAST_SETS = 200_000
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -121,11 +124,13 @@ def signatures(elements, percent: int):
     return np.concatenate(out)
 
 
-def _node(elements) -> int:
-    from xxhash import xxh3_64_intdigest
+def _node(elements, seed: int = 0) -> tuple[int, int]:
+    """A set's name, and as much again to tell sets of one name apart."""
+    from xxhash import xxh3_128_intdigest
 
-    h = xxh3_64_intdigest(elements.tobytes())
-    return h - (1 << 64) if h >> 63 else h
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    h = xxh3_128_intdigest(elements.tobytes(), seed)
+    return signed(h >> 64), signed(h & ((1 << 64) - 1))
 
 
 def spread(elements) -> bytes:
@@ -140,27 +145,150 @@ def spread(elements) -> bytes:
     return np.minimum(cells, 255).astype(np.uint8).tobytes()
 
 
-def _possible(couples: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The couples (a, b) that sizes and spreads let link."""
-    one = sizes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("spread").alias("x"))
-    two = sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("spread").alias("y"))
-    joined = couples.join(one, "a").where("na > 0").join(two, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+def spreads_of(column):
+    """A column of spreads as a table of numbers."""
+    import numpy as np
+
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 1 << CELL_BITS)
+
+
+def possible(spreads, n, i, j, percent: int):
+    """Whether spreads and sizes let the sets i and j link, place by place."""
+    import numpy as np
+
+    out = np.empty(len(i), bool)
+    for k in range(0, len(i), 20_000):
+        a, b = i[k : k + 20_000], j[k : k + 20_000]
+        apart = np.abs(spreads[a].astype(np.int16) - spreads[b]).sum(axis=1, dtype=np.int64)
+        out[k : k + 20_000] = apart * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
+    return out
+
+
+def middle(spreads) -> int:
+    """The member whose spread is nearest to the mean."""
+    import numpy as np
+
+    mean = np.rint(spreads.mean(axis=0)).astype(np.int16)
+    return int(np.abs(spreads - mean).sum(axis=1, dtype=np.int64).argmin())
+
+
+def loose_pairs(spreads, n, part, left, right, percent: int):
+    """Index pairs of left and right members in different parts that sizes and spreads let link.
+
+    If ``left`` is ``right`` each pair comes once. Members are taken by size, so
+    only those of like sizes meet, and coarse spreads first.
+    """
+    import numpy as np
+
+    same = left is right
+    left, right = (x[np.argsort(n[x], kind="stable")] for x in (left, right))
+    coarse = spreads.reshape(len(spreads), -1, COARSE).sum(axis=2, dtype=np.int16)
+    sizes = n[right]
+    for k in range(0, len(left), 64):
+        own = left[k : k + 64]
+        low = np.searchsorted(sizes, -(-percent * n[own[0]] // 100))
+        high = np.searchsorted(sizes, 100 * n[own[-1]] // percent, "right")
+        if same:
+            low = max(low, k + 1)
+        other = right[low:high]
+        if not len(other):
+            continue
+        apart = np.abs(coarse[own][:, None, :] - coarse[other][None, :, :]).sum(axis=2, dtype=np.int64)
+        near = (apart * (100 + percent) <= (n[own][:, None] + n[other][None, :]) * (100 - percent)) & (part[own][:, None] != part[other][None, :])
+        if same:
+            near &= np.arange(low, high)[None, :] > np.arange(k, k + len(own))[:, None]
+        i, j = np.nonzero(near)
+        i, j = own[i], other[j]
+        keep = possible(spreads, n, i, j, percent)
+        yield i[keep], j[keep]
+
+
+def _pairs(table, i, j):
+    """Pairs of nodes, the lesser one first."""
+    import numpy as np
+    import pyarrow as pa
+
+    nodes = table.column("node").to_numpy()
+    a, b = np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])
+    ab = np.unique(np.stack((a, b), axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy()), pa.nulls(len(ab), pa.int64()), pa.nulls(len(ab), pa.int64())], names=["a", "b", "signature", "pivot"])
+
+
+def _stars(members: DataFrame, percent: int) -> DataFrame:
+    """a, b of pivots and members that may link; signature, pivot of each chunk of a group of several.
+
+    members: signature, chunk, node, chunks, n, spread.
+    """
+    dealt = members.repartition("signature", "chunk").sortWithinPartitions("signature", "chunk", "node")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 1 << CELL_BITS).astype(np.int16) for i in (4, 5))
-            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            keep = np.abs(x - y).sum(axis=1) * (100 + percent) <= n * (100 - percent)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+        for table, starts, ends in whole_groups(batches, 2):
+            spreads, n = spreads_of(table.column("spread")), table.column("n").to_numpy()
+            sizes, pivots = ends - starts, starts.copy()
+            for g in np.flatnonzero(sizes > 2):
+                pivots[g] += middle(spreads[starts[g] : ends[g]])
+            i, j = np.repeat(pivots, sizes), np.arange(len(table))
+            other = i != j
+            i, j = i[other], j[other]
+            keep = possible(spreads, n, i, j, percent)
+            yield _pairs(table, i[keep], j[keep])
+            cut = pivots[table.column("chunks").to_numpy()[starts] > 1]
+            if len(cut):
+                nodes = pa.array(table.column("node").to_numpy()[cut])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(cut), pa.int64()), pa.nulls(len(cut), pa.int64()), pa.array(table.column("signature").to_numpy()[cut]), nodes], names=["a", "b", "signature", "pivot"])
+
+    return dealt.select("signature", "chunk", "node", "chunks", "n", "spread").mapInArrow(run, "a bigint, b bigint, signature bigint, pivot bigint")
+
+
+def _blocks(members: DataFrame, found: DataFrame) -> DataFrame:
+    """signature, x, y, own, node, part: members of groups that are not connected, in the blocks that they meet in.
+
+    A block is one chunk, or two. Members of the group's largest part have chunks
+    of their own, which meet the chunks of the others but not each other.
+    """
+    by = Window.partitionBy("signature")
+    placed = members.join(found, "node", "left").select("signature", "node", "m", F.coalesce("root", "node").alias("part"))
+    open_ = placed.withColumn("p", F.min("part").over(by)).withColumn("q", F.max("part").over(by)).where("p < q AND m > 2").drop("p", "q")
+    parts = open_.where(F.col("m") > CHUNK).groupBy("signature", "part").agg(F.count("*").alias("many"))
+    major = parts.groupBy("signature").agg(F.max(F.struct("many", "part")).alias("most"))
+    cut = open_.join(major, "signature", "left")
+    in_major = F.coalesce(F.col("part") == F.col("most.part"), F.lit(False))
+    count = lambda n: F.ceil(n / CHUNK).cast("int")
+    cut = cut.withColumn("others", F.when(F.col("most").isNull(), 1).otherwise(F.greatest(F.lit(1), count(F.col("m") - F.col("most.many")))))
+    cut = cut.withColumn("chunks", F.when(F.col("most").isNull(), 1).otherwise(F.col("others") + count(F.col("most.many"))))
+    place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    cut = cut.withColumn("own", F.when(in_major, F.col("others") + place(F.col("chunks") - F.col("others"))).otherwise(place(F.col("others"))))
+    meets = F.when(in_major, F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
+    met = cut.withColumn("with", F.explode(meets))
+    return met.select("signature", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "node", "part")
+
+
+def _loose(blocks: DataFrame, percent: int) -> DataFrame:
+    """a, b of members in different parts that may link. blocks: signature, x, y, own, node, part, n, spread."""
+    dealt = blocks.repartition("signature", "x", "y").sortWithinPartitions("signature", "x", "y", "node")
+
+    def run(batches):
+        import numpy as np
+
+        for table, starts, ends in whole_groups(batches, 3):
+            spreads = spreads_of(table.column("spread"))
+            n, part, x, y, own = (table.column(c).to_numpy() for c in ("n", "part", "x", "y", "own"))
+            for s, e in zip(starts, ends, strict=True):
+                at = np.arange(s, e)
+                left = at[own[s:e] == x[s]]
+                for i, j in loose_pairs(spreads, n, part, left, left if x[s] == y[s] else at[own[s:e] == y[s]], percent):
+                    if len(i):
+                        yield _pairs(table, i, j)
 
-    return joined.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    found = dealt.select("signature", "x", "y", "own", "node", "part", "n", "spread").mapInArrow(run, "a bigint, b bigint, signature bigint, pivot bigint")
+    return found.select("a", "b").distinct()
 
 
-def _sets(rows: DataFrame, words: int) -> DataFrame:
-    """_id, _text, n, node, spread: size, hash and spread of every document's set (node null if empty)."""
+def _sets(rows: DataFrame, words: int, seed: int) -> DataFrame:
+    """_id, _text, n, node, check, spread: size, name and spread of every document's set (node null if empty)."""
 
     def run(batches):
         import pyarrow as pa
@@ -168,14 +296,15 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
         shingler = Shingler(words)
         for batch in batches:
             every = [shingler(text) for text in batch.column(2).to_pylist()]
-            sizes, nodes = [len(x) for x in every], [_node(x) if len(x) else None for x in every]
+            sizes, nodes = [len(x) for x in every], [_node(x, seed) if len(x) else (None, None) for x in every]
+            named = [pa.array([h[i] for h in nodes], pa.int64()) for i in (0, 1)]
             spreads = [spread(x) for x in every]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(spreads, pa.binary())], names=["_id", "_text", "n", "node", "spread"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *named, pa.array(spreads, pa.binary())], names=["_id", "_text", "n", "node", "check", "spread"])
 
-    return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, _text bigint, n bigint, node bigint, spread binary")
+    return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, _text bigint, n bigint, node bigint, check bigint, spread binary")
 
 
-def _signed(rows: DataFrame, words: int, percent: int) -> DataFrame:
+def _signed(rows: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
     """signature, node for every set of a task once, whatever number of copies it has."""
 
     def run(batches):
@@ -187,7 +316,7 @@ def _signed(rows: DataFrame, words: int, percent: int) -> DataFrame:
             found, nodes, counts = [], [], []
             for text in batch.column(2).to_pylist():
                 x = shingler(text)
-                if not len(x) or (node := _node(x)) in done:
+                if not len(x) or (node := _node(x, seed)[0]) in done:
                     continue
                 if len(done) > MOST_WORDS:
                     done.clear()
@@ -212,15 +341,15 @@ def _elements(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "node bigint, elements binary")
 
 
-def _compared(stars: DataFrame, elements: DataFrame) -> DataFrame:
-    """pivot, node, n_pivot, n, apart and, in groups of several, the differing elements.
+def _links(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets that link, by their elements.
 
-    A pivot's set is sent once for each salt of its group, not with each member.
+    A set that has many partners is sent once for each salt, not with each of them.
     """
-    salted = stars.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    salted = pairs.select(F.col("a").alias("pivot"), F.col("b").alias("node")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
     heads = salted.select("pivot", "salt").distinct().join(elements, F.col("pivot") == F.col("node"))
-    rows = salted.join(elements, "node").select("pivot", "salt", "node", "many", "elements")
-    rows = rows.unionByName(heads.select("pivot", "salt", F.lit(None).cast("bigint").alias("node"), F.lit(False).alias("many"), "elements"))
+    rows = salted.join(elements, "node").select("pivot", "salt", "node", "elements")
+    rows = rows.unionByName(heads.select("pivot", "salt", F.lit(None).cast("bigint").alias("node"), "elements"))
     rows = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("node").asc_nulls_first())
 
     def run(batches):
@@ -229,75 +358,41 @@ def _compared(stars: DataFrame, elements: DataFrame) -> DataFrame:
 
         head = np.empty(0, np.uint64)
         for batch in batches:
-            pivots, nodes, sizes, own, apart, differ = [], [], [], [], [], []
-            for pivot, node, many, data in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+            found: list[tuple[int, int]] = []
+            for pivot, node, data in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                 x = np.frombuffer(data, np.uint64)
                 if node is None:
                     head = x
                     continue
                 both = np.concatenate((head, x))
                 both.sort(kind="stable")
-                twice = both[1:] == both[:-1]
-                alone = np.ones(len(both), bool)
-                alone[1:] &= ~twice
-                alone[:-1] &= ~twice
-                difference = both[alone]
-                pivots.append(pivot)
-                nodes.append(node)
-                sizes.append(len(head))
-                own.append(len(x))
-                apart.append(len(difference))
-                differ.append(difference.view(np.int64) if many else None)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((pivots, nodes, sizes, own, apart, differ), (*[pa.int64()] * 5, pa.list_(pa.int64())), strict=True)], names=["pivot", "node", "n_pivot", "n", "apart", "differ"])
+                apart = len(both) - 2 * int((both[1:] == both[:-1]).sum())
+                if apart * (100 + percent) <= len(both) * (100 - percent):
+                    found.append((pivot, node))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "pivot bigint, node bigint, n_pivot bigint, n bigint, apart bigint, differ array<bigint>")
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def _settled(compared: DataFrame, found: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Components after the links within groups whose members the pivots alone don't connect.
+def _named_sets(rows: DataFrame, words: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """The sets of all rows, under names that no two different sets share."""
+    for seed in count():
+        sets = scratch.save(_sets(rows, words, seed))
+        if not sets.where("n > 0").groupBy("node").agg(F.min("check").alias("p"), F.max("check").alias("q")).where("p < q").head(1):
+            return sets, seed
+        scratch.drop(sets)
+    raise AssertionError
 
-    ``found`` has the components that links with pivots make.
-    """
 
-    def parts(rows: DataFrame, found: DataFrame) -> DataFrame:
-        return rows.join(found, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
-
-    members = compared.where("differ IS NOT NULL").select("pivot", "node", "n", "differ")
-    placed = parts(members.drop("differ"), found)
-    open_ = scratch.save(placed.groupBy("pivot").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("m")).where("p < q").select("pivot", (F.col("m") + 1).alias("m")))
-    itself = compared.where("differ IS NOT NULL").groupBy("pivot").agg(F.first("n_pivot").alias("n")).select("pivot", F.col("pivot").alias("node"), "n", F.array().cast("array<bigint>").alias("differ"))
-    group = members.unionByName(itself).join(open_.select("pivot"), "pivot", "left_semi")
-
-    usual = group.select("pivot", F.explode("differ").alias("e")).groupBy("pivot", "e").count().join(open_, "pivot").where("2 * count > m")
-    flips = usual.groupBy("pivot").agg(F.collect_list("e").alias("flip"))
-    none = F.array().cast("array<bigint>")
-    turned = group.join(flips, "pivot", "left").withColumn("flip", F.coalesce("flip", none))
-    differ = F.concat(F.array_except("differ", "flip"), F.array_except("flip", "differ"))
-    turned = turned.select("pivot", "node", "n", differ.alias("differ")).withColumn("s", (100 + percent) * F.size("differ").cast("long") - (100 - percent) * F.col("n"))
-    turned = scratch.save(turned)
-    best = turned.groupBy("pivot").agg(F.min(F.struct("s", "node")).alias("best"))
-    star = turned.join(best, "pivot").where("s + best.s <= 0 AND node <> best.node").select(F.col("best.node").alias("a"), F.col("node").alias("b"))
-    star = scratch.save(star.distinct())
-
-    found = scratch.save(merged_components(found, star, scratch))
-    # Linked sets differ in k elements at most, so all but k of x's differences are y's too: among the k + 1
-    # of x that fewest members share, and those of y, one is the same.
-    placed = scratch.save(parts(turned, found))
-    apart = F.floor(F.lit((100 - percent) / (100 + percent)) * F.col("n") * (1 + 100 / percent) + 1e-6).cast("int") + 1
-    each = placed.select("pivot", "node", apart.alias("k"), F.explode("differ").alias("e"))
-    shares = F.count("*").over(Window.partitionBy("pivot", "e"))
-    rarest = F.row_number().over(Window.partitionBy("pivot", "node").orderBy("shares", "e"))
-    first = each.withColumn("shares", shares).withColumn("nth", rarest).where("nth <= k AND shares > 1").select("pivot", "node", "e")
-    first = first.join(placed.select("pivot", "node", "part"), ["pivot", "node"])
-    mixed = first.groupBy("pivot", "e").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("pivot", "e")
-    first = scratch.save(first.join(mixed, ["pivot", "e"], "left_semi"))
-    left = first.select("pivot", "e", F.col("node").alias("a"), F.col("part").alias("pa"))
-    right = first.select("pivot", "e", F.col("node").alias("b"), F.col("part").alias("pb"))
-    met = left.join(right, ["pivot", "e"]).where("a < b AND pa <> pb").select("pivot", "a", "b").distinct()
-    side = lambda own, d, s: placed.select("pivot", F.col("node").alias(own), F.col("differ").alias(d), F.col("s").alias(s))
-    met = met.join(side("a", "da", "sa"), ["pivot", "a"]).join(side("b", "db", "sb"), ["pivot", "b"]).withColumn("t", F.size(F.array_intersect("da", "db")))
-    more = scratch.save(met.where(f"sa + sb <= {2 * (100 + percent)} * t").select("a", "b").distinct())
-    return merged_components(found, more, scratch)
+def _elements_of(pairs: DataFrame, rows: DataFrame, sets: DataFrame, words: int) -> DataFrame:
+    """node, elements of every set in the pairs, from one text of each."""
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    holder = sets.where("n > 0").join(needed, "node", "left_semi").groupBy("node").agg(F.min(F.struct("_id", "_text")).alias("h"))
+    holder = holder.select("node", F.col("h._id").alias("_of"), F.col("h._text").alias("_of_text"))
+    if needed.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS:
+        holder = F.broadcast(holder)
+    texts = rows.join(holder, (F.col("_text") == F.col("_of_text")) & F.col("_id").eqNullSafe(F.col("_of"))).select("node", "_bytes").dropDuplicates(["node"])
+    return _elements(texts, words)
 
 
 def _labelled(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -307,38 +402,46 @@ def _labelled(docs: DataFrame, words: int, percent: int, id_col: str, text_col:
     scratch = Scratch(spark, "ngrams")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"), text.alias("_bytes"))
-    sets = scratch.save(_sets(rows, words))
+    sets, seed = _named_sets(rows, words, scratch)
 
+    # the members of every signature that several sets share, each once, and how many they are
     by = Window.partitionBy("signature")
-    nth = F.dense_rank().over(by.orderBy("node"))  # copies in several tasks count once
-    shared = _signed(rows, words, percent).select("signature", "node", F.min("node").over(by).alias("pivot"), nth.alias("nth"))
-    shared = scratch.save(shared.select("signature", "node", "pivot", F.max("nth").over(by).alias("m")).where("m > 1"))
-    stars = shared.where(f"node > pivot AND m > {FEW}").select("pivot", "node").distinct().withColumn("many", F.lit(True))
-    stars = scratch.save(stars)
-    few = shared.where(f"m <= {FEW}").groupBy("signature").agg(F.array_sort(F.collect_set("node")).alias("ns"))
-    couples = F.expr("explode(flatten(transform(ns, (x, i) -> transform(slice(ns, i + 2, size(ns)), y -> struct(x AS a, y AS b)))))")
-    couples = scratch.save(few.select(couples.alias("c")).select("c.a", "c.b").distinct())
-    scratch.drop(shared)
-
-    # one text for each set that has a partner
+    order = by.orderBy("node")
+    signed = _signed(rows, words, percent, seed).withColumn("nth", F.dense_rank().over(order)).withColumn("before", F.lag("node").over(order))
+    members = signed.withColumn("m", F.max("nth").over(by)).where("m > 1 AND (before IS NULL OR before < node)")
+    members = scratch.save(members.select("signature", "node", "m"))
     known = sets.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("spread").alias("spread"))
-    couples = scratch.save(_possible(couples, known, percent))
-    needed = stars.select(F.col("pivot").alias("node")).union(stars.select("node")).union(couples.select("a")).union(couples.select("b")).distinct()
-    holder = sets.where("n > 0").groupBy("node").agg(F.min(F.struct("_id", "_text")).alias("h")).join(needed, "node", "left_semi")
-    holder = holder.select("node", F.col("h._id").alias("_of"), F.col("h._text").alias("_of_text"))
-    texts = rows.join(holder, (F.col("_text") == F.col("_of_text")) & F.col("_id").eqNullSafe(F.col("_of"))).select("node", "_bytes").dropDuplicates(["node"])
-    elements = scratch.save(_elements(texts, words))
 
-    compared = scratch.save(_compared(stars, elements))
-    pairs = scratch.save(_compared(couples.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.lit(False).alias("many")), elements).drop("differ"))
-    scratch.drop(elements)
-    near = F.col("apart") * (100 + percent) <= (F.col("n") + F.col("n_pivot")) * (100 - percent)
-    links = scratch.save(compared.drop("differ").unionByName(pairs).where(near).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    def verified(pairs: DataFrame) -> DataFrame:
+        elements = scratch.save(_elements_of(pairs, rows, sets, words))
+        links = scratch.save(_links(pairs, elements, percent))
+        scratch.drop(elements)
+        return links
+
+    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+    dealt = members.select("signature", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"), "node", chunks.alias("chunks"))
+    met = scratch.save(_stars(dealt.join(known, "node"), percent))
+    stars = met.where("a IS NOT NULL").select("a", "b")
+    heads = met.where("pivot IS NOT NULL").select("signature", F.lit(0).alias("chunk"), F.col("pivot").alias("node"), F.lit(1).alias("chunks"))
+    if heads.head(1):
+        stars = stars.union(_stars(heads.join(known, "node"), percent).select("a", "b"))
+    stars = scratch.save(stars.distinct())
+    scratch.drop(met)
+    links = verified(stars)
+    scratch.drop(stars)
     found = scratch.save(components(links, scratch))
-    final = scratch.save(_settled(compared, found, percent, scratch))
+    scratch.drop(links)
+
+    loose = scratch.save(_loose(_blocks(members, found).join(known, "node"), percent))
+    scratch.drop(members)
+    links = verified(loose)
+    final = scratch.save(merged_components(found, links, scratch))
+    scratch.drop(loose, found, links)
 
     labelled = sets.join(final, "node", "left").withColumn("_group", F.coalesce("root", "node"))
-    return scratch.save(labelled.select("_id", "_text", "n", "_group"))
+    out = scratch.save(labelled.select("_id", "_text", "n", "_group"))
+    scratch.drop(sets, final)
+    return out
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -349,8 +452,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     its own included). A text of fewer words than a shingle is one element; a
     null text, or one without words, has none and links with nothing, not even
     its copies. Repeated rows and equal sets link. An empty table gives an empty
-    table; other columns are ignored. Sets are told apart by a 64-bit hash of
-    their elements.
+    table; other columns are ignored. Words and shingles are told apart by hashes
+    of 64 bits, whole sets by hashes of 128.
     """
     labelled = _labelled(docs, words, percent, id_col, text_col)
     least = labelled.where("n > 0").groupBy("_group").agg(F.min("_id").alias("_least"))

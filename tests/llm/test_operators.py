@@ -192,6 +192,31 @@ def test_ngram_join(spark, odd_rows, words, percent):
     assert sorted(r.doc_id for r in kept.where("text rlike '[^ \t\n]' and doc_id is not null").collect()) == sorted(expected)
 
 
+@pytest.mark.parametrize("chunk", [3, 16])
+def test_groups_larger_than_a_task(spark, monkeypatch, chunk):
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    base = [f"w{rng.randrange(500)}" for _ in range(90)]
+    rows = []
+    for i in range(80):  # copies of one text with own words, copies of copies, and texts that share a passage only
+        text = list(base if i % 4 else base[:45] + [f"o{i}x{k}" for k in range(45)])
+        for _ in range(rng.randrange(4)):
+            text[rng.randrange(90)] = f"x{rng.randrange(10_000)}"
+        rows.append((i, " ".join(text), None, None))
+        if i % 10 == 1:
+            rows.append((100 + i, " ".join([*text[:88], f"q{i}", f"r{i}"]), None, None))
+    got = ngram_join.jaccard_components(documents(spark, rows), 3, 80).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 3, 80)
+
+
+def test_names_that_two_sets_share_are_not_used(spark, monkeypatch, tmp_path):
+    rows = documents(spark, [(i, f"one two three four w{i % 3}", None, None) for i in range(6)])
+    node, scratch = ngram_join._node, Scratch(spark, "t")
+    monkeypatch.setattr(ngram_join, "_node", lambda x, seed=0: (7, node(x)[1]) if not seed else node(x, seed))
+    sets, seed = ngram_join._named_sets(rows.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), F.col("text").cast("binary").alias("_bytes")), 5, scratch)
+    assert sets.select("node").distinct().count() == 3 and (seed == 1 or sets.where("node = 7").count() == 0)
+
+
 def test_one_of_each_component_stays(spark):
     text = lambda c, n=30: " ".join(f"{c}{i}" for i in range(n))
     rows = [(None, text("a"), "s0", None), (None, text("a"), "s1", None), (None, text("b"), None, None), (None, text("c"), None, None)]

@@ -16,11 +16,12 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._support import Scratch, arrow_batches, components
+from ._support import Scratch, arrow_batches, components, whole_groups
 
 SEED = 20240607
 BLOCKS, CODEWORDS, ROTATIONS = 3, 40, 2
@@ -28,7 +29,8 @@ BLOCKS, CODEWORDS, ROTATIONS = 3, 40, 2
 VECTORS_A_FILTER = 4
 #: Mean number of filters of a rotation that a random vector passes, and the least that any vector is given.
 MEAN_FILTERS, LEAST_FILTERS = 12, 6
-CHUNK = 1000
+#: Vectors of a filter that a task holds at once, and how many of them it compares with all others at a time.
+CHUNK, SLICE = 4096, 256
 #: Groups up to this size are compared many at a time.
 SMALL = 48
 
@@ -108,36 +110,67 @@ def filters_of(vectors, codewords: int = CODEWORDS):
     return np.concatenate(rows), np.concatenate(filters)
 
 
-def _link_block(own, other, filter_, least, codewords):
-    """Which of two lists of vectors link, counted for this filter alone.
+def _near(x, y, least):
+    """Which rows of x and y have a cosine of at least ``least``: a table of truth values, made in slices."""
+    import numpy as np
 
-    Returns the index pairs (into own, other) at or above the cosine whose least
-    common filter is this one.
-    """
+    norms = [np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y)]
+    units = [v / n for v, n in zip((x, y), norms, strict=True)]
+    out = np.empty((len(x), len(y)), bool)
+    for k in range(0, len(x), SLICE):
+        cosine = units[0][k : k + SLICE] @ units[1].T
+        out[k : k + SLICE] = cosine >= least
+        # next to the bound the product's rounding could decide: those pairs are taken from the vectors as they are
+        i, j = np.nonzero(np.abs(cosine - least) <= 1e-9)
+        for at in range(0, len(i), 10_000):
+            r, c = i[at : at + 10_000] + k, j[at : at + 10_000]
+            out[r, c] = np.einsum("ij,ij->i", x[r], y[c]) / (norms[0][r, 0] * norms[1][c, 0]) >= least
+    return out
+
+
+def _link_block(x, y, filter_, least, codewords):
+    """Which rows of x and y link and have no lesser filter than this one in common, as a table of truth values."""
     import numpy as np
 
-    def unit(x):
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-    i, j = np.nonzero(unit(own) @ unit(other).T >= least - 1e-9)
-    if not len(i):
-        return i, j
-    a, b = own[i], other[j]
-    exact = np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
-    i, j = i[exact >= least], j[exact >= least]
-    if not len(i):
-        return i, j
-    mine, theirs = np.unique(i), np.unique(j)
-    (r1, f1), (r2, f2) = filters_of(own[mine], codewords), filters_of(other[theirs], codewords)
-    early, late = f1 < filter_, f2 < filter_
-    names = np.unique(np.concatenate((f1[early], f2[late])))
+    near = _near(x, y, least)
+    mine, theirs = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    if not len(mine):
+        return near
+    (r1, f1), (r2, f2) = filters_of(x[mine], codewords), filters_of(y[theirs], codewords)
+    names = np.intersect1d(f1[f1 < filter_], f2[f2 < filter_])
     if not len(names):
-        return i, j
-    x, y = np.zeros((len(mine), len(names)), np.float32), np.zeros((len(theirs), len(names)), np.float32)
-    x[r1[early], np.searchsorted(names, f1[early])] = 1
-    y[r2[late], np.searchsorted(names, f2[late])] = 1
-    earlier = (x @ y.T)[np.searchsorted(mine, i), np.searchsorted(theirs, j)] > 0.5
-    return i[~earlier], j[~earlier]
+        return near
+    has = []
+    for n, r, f in ((len(mine), r1, f1), (len(theirs), r2, f2)):
+        own = np.isin(f, names)
+        one = np.zeros((n, len(names)), np.float32)
+        one[r[own], np.searchsorted(names, f[own])] = 1
+        has.append(one)
+    for k in range(0, len(mine), SLICE):
+        i, j = np.nonzero(has[0][k : k + SLICE] @ has[1].T > 0.5)
+        near[mine[i + k], theirs[j]] = False
+    return near
+
+
+def _counted(near, ids_x, ids_y, copies_x, copies_y):
+    """Of each row and each column of a table of links: copies linked, and the least vector that links reach."""
+    import numpy as np
+
+    n = np.zeros(len(ids_x)), np.zeros(len(ids_y))
+    for k in range(0, len(near), SLICE):
+        part = near[k : k + SLICE].astype(np.float64)
+        n[0][k : k + SLICE] = part @ copies_y
+        n[1][:] += copies_x[k : k + SLICE] @ part
+    roots, most = [ids_x.copy(), ids_y.copy()], np.iinfo(np.int64).max
+    while near.any():
+        before = [r.copy() for r in roots]
+        for k in range(0, len(near), SLICE):
+            rows = near[k : k + SLICE]
+            roots[0][k : k + SLICE] = np.minimum(roots[0][k : k + SLICE], np.where(rows, roots[1][None, :], most).min(axis=1))
+            roots[1] = np.minimum(roots[1], np.where(rows, roots[0][k : k + SLICE, None], most).min(axis=0))
+        if all((a == b).all() for a, b in zip(before, roots, strict=True)):
+            break
+    return [(ids[c > 0], c[c > 0].astype(np.int64), root[c > 0]) for ids, c, root in zip((ids_x, ids_y), n, roots, strict=True)]
 
 
 def _link_small(unit, x, ids, copies, filters, starts, sizes, least, codewords):
@@ -215,7 +248,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id"
     good = F.col(group_col).isNotNull() & v.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(id_col).alias("id"), F.col(group_col).alias("grp"), v.alias("embedding"), good.alias("good"))
     distinct = rows.where("good").groupBy("grp", "embedding").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"))
-    distinct = scratch.save(distinct.withColumn("vec", F.xxhash64("grp", "embedding")))
+    vectors_once = scratch.save(distinct)
+    for seed in count():  # names that no two vectors share
+        distinct = vectors_once.withColumn("vec", F.xxhash64(F.lit(seed), "grp", "embedding"))
+        if not distinct.groupBy("vec").agg(F.count("*").alias("n")).where("n > 1").head(1):
+            break
 
     # more vectors, finer filters: a filter gets no more of them
     codewords = max(CODEWORDS, math.ceil((distinct.count() / VECTORS_A_FILTER) ** (1 / BLOCKS)))
@@ -235,22 +272,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id"
         def large(x, ids, copies, own, filter_, p, q):
             """All links of one block: counts and the least vector reached, by vector."""
             a, b = np.flatnonzero(own == p), np.flatnonzero(own == q)
-            i, j = _link_block(x[a], x[b], filter_, least, codewords)
-            i, j = a[i], b[j]
+            near = _link_block(x[a], x[b], filter_, least, codewords)
             if p == q:
-                i, j = i[i < j], j[i < j]
-            counts = np.bincount(i, copies[j], len(x)) + np.bincount(j, copies[i], len(x))
-            root = ids.copy()
-            while len(i):
-                low = np.minimum(root[i], root[j])
-                after = root.copy()
-                np.minimum.at(after, i, low)
-                np.minimum.at(after, j, low)
-                if (after == root).all():
-                    break
-                root = after
-            hit = np.flatnonzero(counts)
-            return ids[hit], counts[hit].astype(np.int64), root[hit]
+                near = np.triu(near, 1)
+            yield from _counted(near, ids[a], ids[b], copies[a].astype(np.float64), copies[b].astype(np.float64))
 
         def whole(table, starts, ends):
             """Links of the groups that lie in a table whole."""
@@ -270,46 +295,20 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id"
                     if got:
                         yield got
                 for a, b in zip(starts[(dims[starts] == dim) & (sizes > 1) & ~few], ends[(dims[starts] == dim) & (sizes > 1) & ~few], strict=True):
-                    got = large(x[a:b], ids[a:b], copies[a:b], own[a:b], filters[a], p[a], q[a])
-                    if len(got[0]):
-                        yield got
-
-        def cuts_of(table):
-            change = np.zeros(max(0, len(table) - 1), bool)
-            for i in range(5):
-                c = table.column(i).to_numpy()
-                change |= c[1:] != c[:-1]
-            return np.concatenate(([0], np.flatnonzero(change) + 1))
-
-        held: list = []
-        n = 0
-
-        def done(table, last):
-            """Emit all groups, or all but the last one, which may go on in the next batch."""
-            starts = cuts_of(table)
-            ends = np.concatenate((starts[1:], [len(table)]))
-            if not last:
-                starts, ends = starts[:-1], ends[:-1]
-            for got in whole(table, starts, ends) if len(starts) else ():
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["vec", "n", "root"])
+                    yield from large(x[a:b], ids[a:b], copies[a:b], own[a:b], filters[a], p[a], q[a])
 
-        for batch in batches:
-            held.append(batch)
-            n += len(batch)
-            if n >= 20_000:
-                table = pa.Table.from_batches(held)
-                at = int(cuts_of(table)[-1])
-                yield from done(table, False)
-                rest = table.slice(at).combine_chunks()
-                held, n = rest.to_batches(), 0
-        if held:
-            yield from done(pa.Table.from_batches(held), True)
+        for table, starts, ends in whole_groups(batches, len(key)):
+            for got in whole(table, starts, ends):
+                if len(got[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["vec", "n", "root"])
 
     found = scratch.save(blocks.mapInArrow(run, "vec bigint, n bigint, root bigint"))
+    scratch.drop(passed)
     linked = found.groupBy("vec").agg(F.sum("n").alias("n"))
     tied = components(found.select(F.col("vec").alias("a"), F.col("root").alias("b")).where("a <> b").distinct(), scratch)
     known = distinct.join(linked, "vec", "left").join(tied.withColumnRenamed("node", "vec"), "vec", "left").withColumn("root", F.coalesce("root", "vec"))
     known = scratch.save(known.select(F.col("grp").alias("_g"), F.col("embedding").alias("_e"), "root", "least_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n")))
+    scratch.drop(vectors_once, found)
     known = known.drop("least_id").join(known.groupBy("root").agg(F.min("least_id").alias("component")), "root")
     out = rows.join(known, F.col("good") & (F.col("grp") == F.col("_g")) & (F.col("embedding") == F.col("_e")), "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").cast("long").alias("component_id"))

@@ -37,6 +37,8 @@ MOST_WORDS = 1 << 18
 SALTS = 32
 #: The most members of a group that a task holds at once.
 CHUNK = 4096
+#: Groups of up to so many are compared many at a time.
+SMALL = 64
 #: Parts of the domain, as bits, that spreads count; and how many of them stand together in the coarse ones.
 CELL_BITS, COARSE = 8, 16
 #: Up to so many sets (40 bytes each) the texts that are needed again are found by a broadcast, beyond by a shuffle.
@@ -145,6 +147,11 @@ def spread(elements) -> bytes:
     return np.minimum(cells, 255).astype(np.uint8).tobytes()
 
 
+def _tasks(rows: DataFrame) -> int:
+    """As many tasks as a shuffle has: what they compute is more than their bytes tell."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def spreads_of(column):
     """A column of spreads as a table of numbers."""
     import numpy as np
@@ -172,7 +179,31 @@ def middle(spreads) -> int:
     return int(np.abs(spreads - mean).sum(axis=1, dtype=np.int64).argmin())
 
 
-def loose_pairs(spreads, n, part, left, right, percent: int):
+def _coarse(spreads):
+    import numpy as np
+
+    return spreads.reshape(len(spreads), -1, COARSE).sum(axis=2, dtype=np.int16)
+
+
+def loose_in_small(spreads, coarse, n, part, starts, sizes, percent: int):
+    """Index pairs as :func:`loose_pairs` gives them, of groups of few members, all groups of one size at a time."""
+    import numpy as np
+
+    for size in np.unique(sizes[sizes > 1]):
+        at = starts[sizes == size]
+        i, j = np.triu_indices(size, 1)
+        step = max(1, 200_000 // len(i))
+        for k in range(0, len(at), step):
+            a, b = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
+            keep = (part[a] != part[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+            a, b = a[keep], b[keep]
+            keep = np.abs(coarse[a] - coarse[b]).sum(axis=1, dtype=np.int64) * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
+            a, b = a[keep], b[keep]
+            keep = possible(spreads, n, a, b, percent)
+            yield a[keep], b[keep]
+
+
+def loose_pairs(spreads, coarse, n, part, left, right, percent: int):
     """Index pairs of left and right members in different parts that sizes and spreads let link.
 
     If ``left`` is ``right`` each pair comes once. Members are taken by size, so
@@ -182,7 +213,6 @@ def loose_pairs(spreads, n, part, left, right, percent: int):
 
     same = left is right
     left, right = (x[np.argsort(n[x], kind="stable")] for x in (left, right))
-    coarse = spreads.reshape(len(spreads), -1, COARSE).sum(axis=2, dtype=np.int16)
     sizes = n[right]
     for k in range(0, len(left), 64):
         own = left[k : k + 64]
@@ -219,7 +249,7 @@ def _stars(members: DataFrame, percent: int) -> DataFrame:
 
     members: signature, chunk, node, chunks, n, spread.
     """
-    dealt = members.repartition("signature", "chunk").sortWithinPartitions("signature", "chunk", "node")
+    dealt = members.repartition(_tasks(members), "signature", "chunk").sortWithinPartitions("signature", "chunk", "node")
 
     def run(batches):
         import numpy as np
@@ -268,18 +298,23 @@ def _blocks(members: DataFrame, found: DataFrame) -> DataFrame:
 
 def _loose(blocks: DataFrame, percent: int) -> DataFrame:
     """a, b of members in different parts that may link. blocks: signature, x, y, own, node, part, n, spread."""
-    dealt = blocks.repartition("signature", "x", "y").sortWithinPartitions("signature", "x", "y", "node")
+    dealt = blocks.repartition(_tasks(blocks), "signature", "x", "y").sortWithinPartitions("signature", "x", "y", "node")
 
     def run(batches):
         import numpy as np
 
         for table, starts, ends in whole_groups(batches, 3):
             spreads = spreads_of(table.column("spread"))
+            coarse = _coarse(spreads)
             n, part, x, y, own = (table.column(c).to_numpy() for c in ("n", "part", "x", "y", "own"))
-            for s, e in zip(starts, ends, strict=True):
+            small = (ends - starts <= SMALL) & (x[starts] == y[starts])
+            for i, j in loose_in_small(spreads, coarse, n, part, starts[small], (ends - starts)[small], percent):
+                if len(i):
+                    yield _pairs(table, i, j)
+            for s, e in zip(starts[~small], ends[~small], strict=True):
                 at = np.arange(s, e)
                 left = at[own[s:e] == x[s]]
-                for i, j in loose_pairs(spreads, n, part, left, left if x[s] == y[s] else at[own[s:e] == y[s]], percent):
+                for i, j in loose_pairs(spreads, coarse, n, part, left, left if x[s] == y[s] else at[own[s:e] == y[s]], percent):
                     if len(i):
                         yield _pairs(table, i, j)
 
@@ -350,7 +385,7 @@ def _links(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
     heads = salted.select("pivot", "salt").distinct().join(elements, F.col("pivot") == F.col("node"))
     rows = salted.join(elements, "node").select("pivot", "salt", "node", "elements")
     rows = rows.unionByName(heads.select("pivot", "salt", F.lit(None).cast("bigint").alias("node"), "elements"))
-    rows = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("node").asc_nulls_first())
+    rows = rows.repartition(_tasks(rows), "pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("node").asc_nulls_first())
 
     def run(batches):
         import numpy as np

@@ -1,6 +1,7 @@
 """Each operator against brute force and on odd tables: nulls, empty and long texts, ties, repeats, clashing names."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -252,14 +253,19 @@ def test_empty_ngram_join(spark, odd):
     assert ngram_join.jaccard_components(odd.limit(0)).count() == 0
 
 
-def test_cap_filters(spark):
+@pytest.mark.parametrize(("chunk", "small"), [(4096, 48), (40, 8), (7, 2)])
+def test_cap_filters(spark, monkeypatch, chunk, small):
+    monkeypatch.setattr(cap_filters, "CHUNK", chunk)
+    monkeypatch.setattr(cap_filters, "SMALL", small)
     rng = np.random.default_rng(3)
-    rows = []
+    crowd = rng.standard_normal(24)
+    rows = [(i, (crowd + rng.standard_normal(24) * rng.choice([0.02, 0.1, 0.25])).tolist(), 0) for i in range(110)]
     for i in range(40):
         v = rng.standard_normal(24)
         for _ in range(int(rng.integers(1, 5))):
             rows.append((len(rows), (v + rng.standard_normal(24) * 0.04).tolist(), int(i % 3)))
     rows += [(900, rows[0][1], 0), (901, rows[0][1], 0), (902, rows[0][1], 1), (903, rows[0][1], None), (904, None, 0), (905, [0.0] * 24, 0), (906, [float("nan")] * 24, 0), (907, [], 0), (908, [1.0, None], 0), (909, [1.0, 2.0], 0), (910, [2.0, 4.0], 0), (911, [float("inf")] * 24, 0)]
+    rows += [(912, [3.0, 1.0, 2.0], 5), (913, [3.0, 1.0, 2.01], 5)]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, label int, root string, n int")
     good = [(i, np.array(v, np.float32).astype(float), g) for i, v, g in rows if g is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
     links, root = Counter(), {r[0]: r[0] for r in rows}
@@ -282,6 +288,24 @@ def test_cap_filters(spark):
     assert cap_filters.near_vectors(df.limit(0)).count() == 0
 
 
+def test_cap_filters_of_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.0, 1.0], 0), (None, [1.0, 0.01], 0), (3, [0.6, 0.8], 0), (3, None, 0)]
+    got = cap_filters.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == Counter([(1, 2, 1), (1, 2, 1), (1, 1, 1), (2, 1, 1), (None, 2, 1), (3, 0, 3), (3, 0, 3)])
+
+
+@pytest.mark.parametrize("vectors", [256_000, 10**6, 10**8])
+def test_recall_of_finer_filters(vectors):
+    rng = np.random.default_rng(vectors % 1000)
+    codewords = math.ceil((vectors / cap_filters.VECTORS_A_FILTER) ** (1 / cap_filters.BLOCKS))
+    x, z = (rng.standard_normal((1000, 64)) for _ in range(2))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.98 * x + math.sqrt(1 - 0.98**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    one, two = (set(zip(*(c.tolist() for c in cap_filters.filters_of(v, codewords)), strict=True)) for v in (x, y))
+    assert len({i for i, _ in one & two}) >= 990
+
+
 def test_list_decoding_finds_every_direction():
     rng = np.random.default_rng(5)
     v = rng.standard_normal((30, 12))

@@ -7,6 +7,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from callweave.functions.wordlists import NOISE
 from callweave.operators.report import report, write_grouped, write_report
 from callweave.plans.engine import match_graphs
 from callweave.schema import Options
@@ -60,7 +61,10 @@ class Args:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    """--base, --ref, -o (result.txt), -t (0.8), --checkInline, --group. Returns the exit code."""
+    """--base, --ref, -o (result.txt), -t (0.8), --checkInline, --group, --filtered. Returns the exit code.
+
+    ``--filtered`` names a second report, without lines that hold one of the noise texts.
+    """
     args = Args(sys.argv[1:] if argv is None else argv)
     spark = spark or SparkSession.builder.appName("callweave").getOrCreate()
     try:
@@ -69,6 +73,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         match = match_graphs(g1, g2, Options(threshold=args.get_float("t", 0.8), inline=args.get_bool("checkInline")))
         rows = report(match, g1, g2)
         write_report(rows, args.get("o", "result.txt"))
+        if args.get("filtered"):
+            write_report(rows, args.get("filtered"), NOISE)
         if args.get("group"):
             write_grouped(rows, args.get("group"))
     except Exception as e:  # the exit code tells

@@ -196,11 +196,31 @@ def demangled(name: str) -> str:
     return without_return_type(without_qualifiers(without_arguments(found)))
 
 
-@F.pandas_udf(T.StringType())
-def _demangle(names: pd.Series) -> pd.Series:
-    return names.map(demangled, na_action="ignore")
+def _mapped(rule):
+    """A function of a text as one of a column, in Arrow batches."""
+
+    @F.pandas_udf(T.StringType())
+    def mapped(names: pd.Series) -> pd.Series:
+        return names.map(rule, na_action="ignore")
+
+    return mapped
 
 
 def demangle(c: Column) -> Column:
-    """Demangled names, in Arrow batches."""
-    return _demangle(c)
+    """Demangled names."""
+    return _mapped(demangled)(c)
+
+
+def strip_arguments(c: Column) -> Column:
+    """Readable names without their last argument list (see :func:`without_arguments`)."""
+    return _mapped(without_arguments)(c)
+
+
+def strip_qualifiers(c: Column) -> Column:
+    """Readable names without qualifiers at the end (see :func:`without_qualifiers`)."""
+    return _mapped(without_qualifiers)(c)
+
+
+def strip_return_type(c: Column) -> Column:
+    """Readable names without what stands before the last outer space (see :func:`without_return_type`)."""
+    return _mapped(without_return_type)(c)

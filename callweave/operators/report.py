@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,9 +29,28 @@ def lines(rows: DataFrame) -> DataFrame:
     return rows.select("address", "known_name", _line().alias("line"))
 
 
-def write_report(rows: DataFrame, path: str) -> None:
-    """Sorted lines as text. A path that can't be written raises."""
-    lines(rows).orderBy("address", "known_name").select("line").coalesce(1).write.mode("overwrite").text(path)
+def _write_file(text: DataFrame, path: str) -> None:
+    """One text file of a sorted column: written beside its place, then moved there."""
+    spark = text.sparkSession
+    aside = f"{path}.parts-{uuid.uuid4().hex}"
+    text.coalesce(1).write.text(aside)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    to, parts = hadoop.Path(path), hadoop.Path(aside)
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        part = next(s.getPath() for s in fs.listStatus(parts) if s.getPath().getName().startswith("part-"))
+        fs.delete(to, True)
+        if not fs.rename(part, to):
+            raise OSError(f"can't write {path}")
+    finally:
+        fs.delete(parts, True)
+
+
+def write_report(rows: DataFrame, path: str, noise: tuple[str, ...] = ()) -> None:
+    """Sorted lines as one text file, without those that hold a noise text. A path that can't be written raises."""
+    kept = lines(rows)
+    kept = post_filter(kept, noise) if noise else kept
+    _write_file(kept.orderBy("address", "known_name").select("line"), path)
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -41,9 +61,9 @@ def grouped(rows: DataFrame) -> DataFrame:
 
 
 def write_grouped(rows: DataFrame, path: str) -> None:
-    """Groups in order of their names: a heading, the lines, an empty line."""
+    """Groups in order of their names as one text file: a heading, the lines, an empty line."""
     text = F.concat(F.lit("["), "grp", F.lit("]\n"), "body", F.lit("\n"))
-    grouped(rows).orderBy("grp").select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    _write_file(grouped(rows).orderBy("grp").select(text.alias("value")), path)
 
 
 def post_filter(rows: DataFrame, noise: tuple[str, ...] = NOISE, column: str = "line") -> DataFrame:

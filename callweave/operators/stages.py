@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callweave.functions.names import as_bytes, is_unknown, name_similarity
+from callweave.functions.names import as_bytes, is_unknown
 from callweave.operators.edges import distinct_edges, edges, last_index, required_neighbours, unmatched
 from callweave.operators.greedy import greedy_match
 from callweave.session import cut
@@ -29,15 +29,17 @@ def similar_candidates(g1: DataFrame, g2: DataFrame, least: float) -> DataFrame:
     """g2_idx, g1_idx, score of names at least ``least`` similar, found by shared segments.
 
     With at most k edits between two names, one of k + 1 pieces that the g1 name
-    is cut into stands unchanged in the g2 name, moved by k at most. Names join
-    on lengths and pieces, so no pair without a common piece is ever met. A name
-    too short for k + 1 pieces joins on lengths alone. Only then distances are
-    taken, bounded by k.
+    is cut into stands unchanged in the g2 name. Some such piece, the j-th from 0,
+    has at most j edits before and k - j behind it, so it is moved by j at most,
+    and by no more than k - j from where the difference of lengths would put it.
+    Names join on lengths and pieces, so no pair without a common piece is ever
+    met. A name too short for k + 1 pieces joins on lengths alone. Only then
+    distances are taken, bounded by k.
     """
     if least <= 0:
         raise ValueError("a threshold must be above 0")
-    cut1 = g1.select(F.col("idx").alias("g1_idx"), F.col("name").alias("n1"), as_bytes(F.col("name")).alias("b1")).where("length(b1) > 0").withColumn("l1", F.length("b1"))
-    cut2 = g2.select(F.col("idx").alias("g2_idx"), F.col("name").alias("n2"), as_bytes(F.col("name")).alias("b2")).where("length(b2) > 0").withColumn("l2", F.length("b2"))
+    cut1 = g1.select(F.col("idx").alias("g1_idx"), as_bytes(F.col("name")).alias("b1")).where("length(b1) > 0").withColumn("l1", F.length("b1"))
+    cut2 = g2.select(F.col("idx").alias("g2_idx"), as_bytes(F.col("name")).alias("b2")).where("length(b2) > 0").withColumn("l2", F.length("b2"))
     # lengths that can reach the threshold, one more on each side for rounding
     lengths = lambda own: F.explode(F.sequence(F.greatest(F.lit(1), F.floor(F.col(own) * least).cast("int") - 1), F.ceil(F.col(own) / least).cast("int") + 1))
     edits = F.floor((1 - least) * F.greatest("l1", "l2") + 1e-6).cast("int")
@@ -49,13 +51,20 @@ def similar_candidates(g1: DataFrame, g2: DataFrame, least: float) -> DataFrame:
     short = pieces > F.col("l1")
     nothing = F.array(F.struct(F.lit(-1).alias("j"), F.lit("").alias("piece")))
     own = F.transform(F.sequence(F.lit(0), F.col("k")), lambda j: F.struct(j.alias("j"), F.substring(F.col("b1"), start(j) + 1, start(j + 1) - start(j)).alias("piece")))
-    moved = lambda j: F.sequence(F.greatest(F.lit(0), start(j) - F.col("k")), F.greatest(F.greatest(F.lit(0), start(j) - F.col("k")), F.least(F.col("l2") - (start(j + 1) - start(j)), start(j) + F.col("k"))))
+
+    def moved(j):
+        """Places in the g2 name where the j-th piece may stand."""
+        more = F.col("l2") - F.col("l1")
+        low = F.greatest(F.lit(0), start(j) + F.greatest(-j, more - (F.col("k") - j)))
+        high = F.least(F.col("l2") - (start(j + 1) - start(j)), start(j) + F.least(j, more + (F.col("k") - j)))
+        return F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+
     other = F.flatten(F.transform(F.sequence(F.lit(0), F.col("k")), lambda j: F.transform(moved(j), lambda p: F.struct(j.alias("j"), F.substring(F.col("b2"), p + 1, start(j + 1) - start(j)).alias("piece")))))
-    one = one.withColumn("x", F.explode(F.when(short, nothing).otherwise(own))).select("g1_idx", "n1", "l1", "l2", "x.j", "x.piece")
-    two = two.withColumn("x", F.explode(F.array_distinct(F.when(short, nothing).otherwise(other)))).select("g2_idx", "n2", "l1", "l2", "x.j", "x.piece")
-    pairs = one.join(two, ["l1", "l2", "j", "piece"]).select("g2_idx", "g1_idx", "n1", "n2").distinct()
-    scored = pairs.select("g2_idx", "g1_idx", name_similarity(F.col("n2"), F.col("n1"), least).alias("score"))
-    return scored.where(F.col("score") >= least)
+    one = one.withColumn("x", F.explode(F.when(short, nothing).otherwise(own))).select("g1_idx", "b1", "l1", "l2", "k", "x.j", "x.piece")
+    two = two.withColumn("x", F.explode(F.array_distinct(F.when(short, nothing).otherwise(other)))).select("g2_idx", "b2", "l1", "l2", "x.j", "x.piece")
+    pairs = one.join(two, ["l1", "l2", "j", "piece"]).select("g2_idx", "g1_idx", "b1", "b2", "k").distinct()
+    apart = pairs.select("g2_idx", "g1_idx", F.greatest(F.length("b1"), F.length("b2")).cast("double").alias("long"), F.call_function("levenshtein", "b2", "b1", "k").alias("edits"))
+    return apart.where("edits >= 0").select("g2_idx", "g1_idx", (1.0 - F.col("edits") / F.col("long")).alias("score")).where(F.col("score") >= least)
 
 
 def similar_match(g1: DataFrame, g2: DataFrame, match: DataFrame, least: float) -> DataFrame:
@@ -161,27 +170,56 @@ def translated_reach(g2: DataFrame, g1: DataFrame, match: DataFrame, depth: int)
     return reduce(DataFrame.unionAll, out).distinct().join(named, "to").select("idx", "dir", "name").distinct()
 
 
-def overlap_scores(a: DataFrame, b: DataFrame) -> DataFrame:
-    """v, u, score for functions whose reach sets share a name.
+def _overlap_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """v, u that may score ``least``: in some direction the smaller set's rarest names meet the larger set.
+
+    A mean reaches ``least`` only if one direction does. There, the larger set has
+    at least ``least`` of the smaller one's n names, so one of any
+    n - ceil(least * n) + 1 of them; the rarest are taken.
+    """
+    held = a.unionAll(b).groupBy("dir", "name").agg(F.count("*").alias("held"))
+
+    def sized(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.groupBy("idx", "dir").agg(F.count("*").alias("n")), ["idx", "dir"])
+
+    def first(rows: DataFrame) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy("idx", "dir").orderBy("held", "name"))
+        return rows.join(held, ["dir", "name"]).withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * least - 1e-6) + 1).drop("held", "nth")
+
+    x, y = (cut(sized(rows)) for rows in (a, b))
+    own = lambda rows, i: rows.select("dir", "name", F.col("idx").alias(i), F.col("n").alias(f"n_{i}"))
+    smaller_v = own(first(x), "v").join(own(y, "u"), ["dir", "name"]).where("n_v <= n_u")
+    smaller_u = own(first(y), "u").join(own(x, "v"), ["dir", "name"]).where("n_u < n_v")
+    return smaller_v.select("v", "u").unionAll(smaller_u.select("v", "u")).distinct()
+
+
+def overlap_scores(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """v, u, score of functions whose reach sets overlap by ``least`` (above 0) at least.
 
     In a direction the score is the share of the smaller set that both have. A
     direction counts if either has names in it; the score is the mean over those.
     """
-    common = a.withColumnRenamed("idx", "v").join(b.withColumnRenamed("idx", "u"), ["dir", "name"]).groupBy("v", "u", "dir").agg(F.count("*").alias("c"))
-    common = common.groupBy("v", "u").pivot("dir", ["callee", "caller"]).agg(F.first("c"))
+    pairs = cut(_overlap_pairs(a, b, least))
+    rows = {"v": a.withColumnRenamed("idx", "v"), "u": b.withColumnRenamed("idx", "u")}
+    count = lambda i: rows[i].groupBy(i, "dir").agg(F.count("*").alias(f"n_{i}"))
+    met = pairs.join(count("v"), "v").join(count("u"), ["u", "dir"])
+    # the names of the smaller set are looked up in the larger one
+    in_both = lambda test, own, other: met.where(test).join(rows[own], [own, "dir"]).join(rows[other], [other, "dir", "name"], "left_semi").select("v", "u", "dir")
+    both = in_both("n_v <= n_u", "v", "u").unionAll(in_both("n_u < n_v", "u", "v"))
+    of_dir = lambda d: F.count(F.when(F.col("dir") == d, 1))
+    common = both.groupBy("v", "u").agg(of_dir("callee").alias("callee"), of_dir("caller").alias("caller"))
 
     def sizes(rows: DataFrame, own: str) -> DataFrame:
-        out = rows.groupBy(F.col("idx").alias(own)).pivot("dir", ["callee", "caller"]).count()
-        return out.select(own, F.coalesce("callee", F.lit(0)).alias(f"{own}_callee"), F.coalesce("caller", F.lit(0)).alias(f"{own}_caller"))
+        return rows.groupBy(F.col("idx").alias(own)).agg(of_dir("callee").alias(f"{own}_callee"), of_dir("caller").alias(f"{own}_caller"))
 
     both = common.join(sizes(a, "v"), "v").join(sizes(b, "u"), "u")
 
     def of(d: str):
         x, y = F.col(f"v_{d}"), F.col(f"u_{d}")
-        return F.when((x > 0) & (y > 0), F.coalesce(F.col(d), F.lit(0)).cast("double") / F.least(x, y)).otherwise(0.0), ((x > 0) | (y > 0)).cast("int")
+        return F.when((x > 0) & (y > 0), F.col(d).cast("double") / F.least(x, y)).otherwise(0.0), ((x > 0) | (y > 0)).cast("int")
 
     (s1, p1), (s2, p2) = of("callee"), of("caller")
-    return both.select("v", "u", F.when(p1 + p2 > 0, (s1 * p1 + s2 * p2) / (p1 + p2)).otherwise(0.0).alias("score"))
+    return both.select("v", "u", ((s1 * p1 + s2 * p2) / (p1 + p2)).alias("score")).where(F.col("score") >= least)
 
 
 def inline_candidates(g1: DataFrame, g2: DataFrame, match: DataFrame, least: float, depth: int = 3) -> DataFrame:
@@ -190,8 +228,7 @@ def inline_candidates(g1: DataFrame, g2: DataFrame, match: DataFrame, least: flo
         raise ValueError("a threshold must be above 0")
     mine = translated_reach(g2, g1, match, depth).join(match.select(F.col("g2_idx").alias("idx")), "idx", "left_anti")
     theirs = reach(g1, depth).join(match.select(F.col("g1_idx").alias("idx")), "idx", "left_anti")
-    scored = overlap_scores(cut(mine), cut(theirs)).where(F.col("score") >= least)
-    return scored.select(F.col("v").alias("g2_idx"), F.col("u").alias("g1_idx"), "score")
+    return overlap_scores(cut(mine), cut(theirs), least).select(F.col("v").alias("g2_idx"), F.col("u").alias("g1_idx"), "score")
 
 
 def inline_match(g1: DataFrame, g2: DataFrame, match: DataFrame, least: float, depth: int = 3) -> DataFrame:

@@ -8,8 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callweave.functions import demangle as DM
 from callweave.functions import names
 from callweave.functions.demangle import demangle
+from callweave.functions.names import NameFilter
 from callweave.functions.wordlists import IGNORED_PARTS, NOISE, OPERATORS, RULES
 from callweave.operators import edges as E
 from callweave.operators import report as R
@@ -18,6 +20,7 @@ from callweave.operators.greedy import greedy_match
 from callweave.schema import widened
 from callweave.session import cut
 from callweave.sources import fixtures
+from callweave.sources.callgraph import distinct_strings, function_record, normalise, parse_graph
 
 LEAST = widened(0.8)
 #: A least score of reach that gives candidates on the derived pair.
@@ -146,10 +149,90 @@ def demangle_names(spark, d):
 
 
 def name_similarity(spark, d):
-    nation = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("x"))
-    other = nation.select(F.col("a").alias("b"), F.concat("x", F.lit("X")).alias("y"))
-    pairs = nation.join(other, F.abs(F.col("a") - F.col("b")) <= 3)
-    return pairs.select("a", "b", names.name_similarity(F.col("x"), F.col("y"), LEAST).alias("score"))
+    part = spark.read.parquet(f"{d}/part.parquet")
+    pairs = part.select("p_partkey", F.explode(F.array(F.col("p_type"), F.concat("p_name", F.lit("X")), F.reverse("p_name"))).alias("y"), F.col("p_name").alias("x"))
+    return pairs.select("p_partkey", "y", names.name_similarity(F.col("x"), F.col("y"), LEAST).alias("score"))
+
+
+def _calls(spark, d) -> DataFrame:
+    """Nations as functions: a name, for even keys twice the same callee, and the region as caller."""
+    nation, region = spark.read.parquet(f"{d}/nation.parquet"), spark.read.parquet(f"{d}/region.parquet")
+    own = F.when(F.col("n_nationkey") % 2 == 0, F.array(F.concat("n_name", F.lit("_a")), F.concat("n_name", F.lit("_a"))))
+    item = F.struct(F.col("n_name").alias("name"), own.alias("called_names"), F.array("r_name").alias("caller_names"), F.col("n_nationkey").alias("address"))
+    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", item.alias("item"))
+
+
+def _read(document: DataFrame) -> DataFrame:
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return parse_graph(document).select("idx", "name", "base_name", joined("callees"), joined("callers"))
+
+
+def read_list(spark, d):
+    items = _calls(spark, d).agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "item"))), lambda x: x["item"]).alias("functions"))
+    return _read(items.select(F.to_json("functions").alias("value")))
+
+
+def read_object(spark, d):
+    items = _calls(spark, d).agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "item"))), lambda x: x["item"]).alias("functions"))
+    return _read(items.select(F.to_json(F.struct(F.lit("x86").alias("language"), "functions")).alias("value")))
+
+
+def read_map(spark, d):
+    items = _calls(spark, d).agg(F.map_from_entries(F.collect_list(F.struct(F.col("item.name"), "item"))).alias("functions"))
+    return _read(items.select(F.to_json("functions").alias("value")))
+
+
+def normalised_graph(spark, d):
+    kept = NameFilter(exact=("ASIA",), partial=("CHINA",))
+    rules = names.rule_set([(False, "A", "4"), (True, "([EI])([^EI])", "$2$1")], operators=False)
+    out = normalise(_items_as_graph(spark, d), rules, kept)
+    return out.select("idx", "name", "base_name", F.array_join("callees", ",").alias("callees"), F.array_join("callers", ",").alias("callers"))
+
+
+def _items_as_graph(spark, d) -> DataFrame:
+    items = _calls(spark, d).agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "item"))), lambda x: x["item"]).alias("functions"))
+    return parse_graph(items.select(F.to_json("functions").alias("value")))
+
+
+def qualified_names(spark, d):
+    nation, region = spark.read.parquet(f"{d}/nation.parquet"), spark.read.parquet(f"{d}/region.parquet")
+    supplier = spark.read.parquet(f"{d}/supplier.parquet")
+    both = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    spaces = F.when(F.col("s_suppkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("r_name", "n_name"))
+    return both.select("s_suppkey", names.qualified_name(spaces, F.col("s_name")).alias("name"))
+
+
+def referenced_strings(spark, d):
+    line = spark.read.parquet(f"{d}/lineitem.parquet")
+    return distinct_strings(line.select(F.col("l_suppkey").alias("func"), F.col("l_partkey").alias("address"), F.concat(F.lit("s"), F.col("l_partkey").cast("string")).alias("value")))
+
+
+def renamed_predicate(spark, d):
+    customer = spark.read.parquet(f"{d}/customer.parquet")
+    source = F.element_at(F.array(*map(F.lit, ("USER_DEFINED", "IMPORTED", "ANALYSIS", "DEFAULT"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    name = F.concat(F.element_at(F.array(*map(F.lit, ("FUN_", "thunk_", ""))), (F.col("c_custkey") % 3 + 1).cast("int")), "c_name")
+    return customer.select("c_custkey", names.is_renamed(source, name).alias("renamed"))
+
+
+def function_records(spark, d):
+    supplier = spark.read.parquet(f"{d}/supplier.parquet")
+    record = function_record(F.col("s_name"), address=F.hex("s_suppkey"), nation=F.col("s_nationkey"))
+    return supplier.select("s_suppkey", record.alias("r")).select("s_suppkey", "r.name", "r.address", "r.nation")
+
+
+def custom_rule(spark, d):
+    rules = names.RuleSet().literal("::", ".").column_fn(lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, F.lit(2), F.length(c)))).regex("([aeiou])", "<$1>")
+    part = spark.read.parquet(f"{d}/part.parquet")
+    return part.select("p_partkey", rules.apply(F.replace("p_name", F.lit(" "), F.lit("::"))).alias("rewritten"))
+
+
+def stripped_names(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet")
+    name = F.concat(F.substring_index("p_name", " ", 1), F.lit("::get"))
+    full = F.concat(F.lit("std::pair<int, A (*)(long)> "), name, F.lit("(int, void (*)(char)) const &"))
+    cut_ = part.select("p_partkey", full.alias("full")).withColumn("no_arguments", DM.strip_arguments(F.col("full")))
+    qualified = cut_.withColumn("no_qualifiers", DM.strip_qualifiers(F.concat("no_arguments", F.lit(" const volatile &"))))
+    return qualified.withColumn("bare", DM.strip_return_type(F.col("no_qualifiers")))
 
 
 def exact_match(spark, d):
@@ -189,8 +272,10 @@ def structural_match(spark, d):
 
 
 def structural_score(spark, d):
+    """Of every g2 function with the g1 function of its place and with the next one."""
     p = Pair(spark, d)
-    return S.structural_score(_candidates(p), p.g1, p.g2, p.named)
+    pairs = p.g2.select(F.col("idx").alias("v"), F.explode(F.array(F.col("idx"), F.col("idx") + 1)).alias("u"))
+    return S.structural_score(pairs, p.g1, p.g2, p.named)
 
 
 def reach_k(spark, d):
@@ -217,6 +302,12 @@ def find_target(spark, d):
     return S.find_target(p.g1, p.g2, p.named, "FUN_00000007", LEAST)
 
 
+def find_target_by_name(spark, d):
+    """Nothing is matched yet, so names alone can tell."""
+    p = Pair(spark, d)
+    return S.find_target(p.g1, p.g2, p.exact.limit(0), "Supplier_000000003x", LEAST)
+
+
 def report(spark, d):
     p = Pair(spark, d)
     return R.lines(R.report(p.match, p.g1, p.g2))
@@ -311,6 +402,13 @@ def _nested(rules, c: str) -> str:
     return reduce(lambda x, r: f"replace({x}, {_q(r[1])}, {_q(r[2])})", rules, c)
 
 
+_READ = """SELECT CAST(row_number() OVER (ORDER BY {order}) - 1 AS BIGINT) AS idx, n_name AS name, n_name AS base_name,
+  CASE WHEN n_nationkey % 2 = 0 THEN n_name || '_a,' || n_name || '_a' ELSE '' END AS callees, r_name AS callers FROM nation JOIN region ON n_regionkey = r_regionkey"""
+_SWAPPED = "regexp_replace(replace({}, 'A', '4'), '([EI])([^EI])', '\\2\\1', 'g')"
+#: The rules run before and after demangling, which leaves these names as they are.
+_NORMAL = _SWAPPED.format(_SWAPPED.format("{}"))
+_NORMALISED = f"""SELECT idx, {_NORMAL.format("name")} AS name, base_name, CASE WHEN callees = '' THEN '' ELSE {_NORMAL.format("name || '_a'")} || ',' || {_NORMAL.format("name || '_a'")} END AS callees,
+  {_NORMAL.format("callers")} AS callers FROM ({_READ.format(order="n_nationkey")}) WHERE name <> 'ASIA' AND NOT contains(name, 'CHINA')"""
 _OP_CASE = "CASE " + " ".join(f"WHEN starts_with(rest, {_q(s)}) THEN head || '_{w}'" for s, w in OPERATORS) + " ELSE name END"
 _any = lambda c, parts: " OR ".join(f"contains({c}, {_q(p)})" for p in parts)
 
@@ -328,7 +426,17 @@ _ALL: dict[str, tuple[Callable, str | None]] = {
     "operator_names": (operator_names, f"SELECT p_partkey, {_OP_CASE} AS rewritten FROM (SELECT *, CASE WHEN instr(name, 'operator') > 0 THEN substr(name, instr(name, 'operator') + 8) END AS rest, substr(name, 1, instr(name, 'operator') + 7) AS head FROM ({_TEXTS_SQL}))"),
     "full_rules": (full_rules, None),
     "demangle": (demangle_names, "SELECT p_partkey, split_part(p_name, ' ', 1) || '::get' AS readable FROM part"),
-    "name_similarity": (name_similarity, f"SELECT a, b, {_SIM_L} AS score FROM (SELECT p.n_nationkey AS a, q.n_nationkey AS b, p.n_name AS x, q.n_name || 'X' AS y FROM nation p JOIN nation q ON abs(p.n_nationkey - q.n_nationkey) <= 3)"),
+    "name_similarity": (name_similarity, f"SELECT p_partkey, y, {_SIM_L} AS score FROM (SELECT p_partkey, p_name AS x, unnest([p_type, p_name || 'X', reverse(p_name)]) AS y FROM part)"),
+    "read_list": (read_list, _READ.format(order="n_nationkey")),
+    "read_object": (read_object, _READ.format(order="n_nationkey")),
+    "read_map": (read_map, _READ.format(order="n_name")),
+    "normalised_graph": (normalised_graph, _NORMALISED),
+    "qualified_names": (qualified_names, "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE r_name || '::' || n_name || '::' || s_name END AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
+    "referenced_strings": (referenced_strings, "SELECT DISTINCT l_suppkey AS func, l_partkey AS address, 's' || CAST(l_partkey AS VARCHAR) AS value FROM lineitem"),
+    "renamed_predicate": (renamed_predicate, "SELECT c_custkey, c_custkey % 4 IN (0, 1) OR (c_custkey % 4 = 2 AND c_custkey % 3 = 2) AS renamed FROM customer"),
+    "function_records": (function_records, "SELECT s_suppkey, s_name AS name, upper(to_hex(s_suppkey)) AS address, s_nationkey AS nation FROM supplier"),
+    "custom_rule": (custom_rule, r"SELECT p_partkey, regexp_replace(upper(substr(x, 1, 1)) || substr(x, 2), '([aeiou])', '<\1>', 'g') AS rewritten FROM (SELECT p_partkey, replace(p_name, ' ', '.') AS x FROM part)"),
+    "stripped_names": (stripped_names, "SELECT p_partkey, 'std::pair<int, A (*)(long)> ' || x || '(int, void (*)(char)) const &' AS full, 'std::pair<int, A (*)(long)> ' || x AS no_arguments, 'std::pair<int, A (*)(long)> ' || x AS no_qualifiers, x AS bare FROM (SELECT p_partkey, split_part(p_name, ' ', 1) || '::get' AS x FROM part)"),
     "exact_match": (exact_match, _CTES + "SELECT g2_idx, g1_idx, 'exact' AS stage, CAST(1 AS DOUBLE) AS score FROM m1"),
     "similar_candidates": (similar_candidates, _CTES + "SELECT g2_idx, g1_idx, score FROM c2"),
     "greedy_match": (greedy_similar, _CTES + "SELECT score, g2_idx, g1_idx FROM m2"),
@@ -337,12 +445,13 @@ _ALL: dict[str, tuple[Callable, str | None]] = {
     "structural_candidates": (structural_candidates, _CTES + "SELECT v, u FROM c3"),
     "ambiguity_cost": (ambiguity_cost, _CTES + "SELECT v, u, cost FROM cost"),
     "structural_match": (structural_match, _CTES + "SELECT g2_idx, g1_idx, 'structural' AS stage, CAST(1 AS DOUBLE) AS score FROM m3"),
-    "structural_score": (structural_score, _CTES + "SELECT v, u, CAST(1 AS DOUBLE) AS score FROM c3"),
+    "structural_score": (structural_score, _CTES + "SELECT p.v, p.u, CASE WHEN count(rq.t) > 0 THEN count(h.idx) / CAST(count(rq.t) AS DOUBLE) ELSE 0.0 END AS score FROM (SELECT idx AS v, idx AS u FROM g2 UNION ALL SELECT idx, idx + 1 FROM g2) p LEFT JOIN rq ON rq.v = p.v LEFT JOIN (SELECT DISTINCT idx, dir, nbr FROM d1) h ON h.idx = p.u AND h.dir = rq.dir AND h.nbr = rq.t GROUP BY p.v, p.u"),
     "reach_k": (reach_k, _CTES + "SELECT idx, dir, name FROM r1"),
     "reach_translated": (reach_translated, _CTES + "SELECT idx, dir, name FROM t2"),
     "overlap_score": (overlap_score, _CTES + "SELECT g2_idx, g1_idx, score FROM " + _overlap("0.5")),
     "inline_match": (inline_match, _CTES + "SELECT g2_idx, g1_idx, 'inline' AS stage, score FROM m4"),
     "find_target": (find_target, _CTES + "SELECT u AS g1_idx, CAST(1 AS DOUBLE) AS score FROM c3 JOIN g2 ON g2.idx = v WHERE g2.name = 'FUN_00000007' AND u NOT IN (SELECT g1_idx FROM mn)"),
+    "find_target_by_name": (find_target_by_name, _CTES + f"SELECT g1_idx, score FROM (SELECT idx AS g1_idx, {_SIM_L} AS score FROM (SELECT idx, 'Supplier_000000003x' AS x, name AS y FROM g1)) WHERE score >= {_L}"),
     "report": (report, _CTES + "SELECT address, known_name, '- ' || address || ' ' || known_name AS line FROM rep"),
     "report_grouped": (report_grouped, _CTES + "SELECT CASE WHEN contains(known_name, '::') THEN split_part(known_name, '::', 1) ELSE 'unnamed namespace' END AS grp, count(*) AS n, string_agg('- ' || address || ' ' || known_name, chr(10) ORDER BY address, known_name) AS body FROM rep GROUP BY 1"),
     "post_filter": (post_filter, _CTES + f"SELECT * FROM (SELECT address, known_name, '- ' || address || ' ' || known_name AS line FROM rep) WHERE NOT ({_any('line', (*NOISE, 'blue'))})"),

@@ -10,33 +10,62 @@ from callweave.functions.demangle import demangle
 from callweave.functions.names import NameFilter, RuleSet, rule_set
 from callweave.session import cut
 
-_ITEM = T.StructType([T.StructField("name", T.StringType()), T.StructField("called_names", T.ArrayType(T.StringType())), T.StructField("caller_names", T.ArrayType(T.StringType()))])
+#: Names keep their kind of value until it is known to be a text.
+_ITEM = T.StructType([T.StructField("name", T.VariantType()), T.StructField("called_names", T.ArrayType(T.VariantType())), T.StructField("caller_names", T.ArrayType(T.VariantType()))])
 _STRICT = {"mode": "FAILFAST"}
 
 
 def _items(document: DataFrame) -> DataFrame:
     """pos, item of every function: of a root list, of ``functions``, or of a map's values in key order."""
     value = F.col("value")
-    root = F.substring(F.ltrim(F.regexp_replace(value, r"^\s+", "")), 1, 1)
+    root = F.substring(F.regexp_replace(value, r"^\s+", ""), 1, 1)
     unclear = F.raise_error(F.lit("JSON root must be an array or object"))
-    has_list = F.get_json_object(value, "$.functions").isNotNull()
+    # a map is parsed once, whatever number of keys it has
+    parsed = document.select("value", root.alias("root"), F.when(root == "{", F.from_json(value, T.MapType(T.StringType(), T.StringType()), _STRICT)).alias("keys"))
     listed = F.from_json(value, T.ArrayType(_ITEM), _STRICT)
     held = F.from_json(value, T.StructType([T.StructField("functions", T.ArrayType(_ITEM))]), _STRICT)["functions"]
-    keyed = F.transform(F.array_sort(F.map_keys(F.from_json(value, T.MapType(T.StringType(), T.StringType())))), lambda k: F.from_json(F.element_at(F.from_json(value, T.MapType(T.StringType(), T.StringType())), k), _ITEM, _STRICT))
-    items = F.when(root == "[", listed).when((root == "{") & has_list, held).when(root == "{", keyed).otherwise(unclear.cast(T.ArrayType(_ITEM)))
-    return document.select(F.posexplode(items).alias("pos", "item"))
+    keyed = F.transform(F.array_sort(F.map_entries("keys")), lambda e: F.from_json(e["value"], _ITEM, _STRICT))
+    in_object = F.when(F.map_contains_key("keys", "functions"), held).otherwise(keyed)
+    items = F.when(F.col("root") == "[", listed).when(F.col("root") == "{", in_object).otherwise(unclear.cast(T.ArrayType(_ITEM)))
+    return parsed.select(F.posexplode(items).alias("pos", "item"))
+
+
+def _text(value: Column) -> Column:
+    """A JSON value that must be a text; missing and null ones are empty."""
+    kind = F.schema_of_variant(value)
+    wrong = F.raise_error(F.concat(F.lit("a name must be a text, not "), kind)).cast("string")
+    return F.when(value.isNull() | F.is_variant_null(value), F.lit("")).when(kind == "STRING", F.variant_get(value, "$", "string")).otherwise(wrong)
 
 
 def parse_graph(document: DataFrame) -> DataFrame:
     """Functions of the document in column ``value``: idx, name, base_name, callees, callers.
 
-    Missing and null names are empty, missing and null lists too; order and
-    repeats stay. Other fields are ignored. A root that is neither a list nor an
-    object raises.
+    Missing and null names are empty, missing and null lists too, that of
+    ``functions`` as well; order and repeats stay. Other fields are ignored. A
+    root that is neither a list nor an object raises, and so does a name that is
+    no text.
     """
     none = F.array().cast("array<string>")
     item = F.col("item")
-    return _items(document).select(F.col("pos").cast("long").alias("idx"), F.coalesce(item["name"], F.lit("")).alias("name"), F.coalesce(item["name"], F.lit("")).alias("base_name"), F.coalesce(item["called_names"], none).alias("callees"), F.coalesce(item["caller_names"], none).alias("callers"))
+    names = lambda c: F.coalesce(F.transform(item[c], _text), none)
+    read = _items(document).select(F.col("pos").cast("long").alias("idx"), _text(item["name"]).alias("name"), names("called_names").alias("callees"), names("caller_names").alias("callers"))
+    return read.select("idx", "name", F.col("name").alias("base_name"), "callees", "callers")
+
+
+def read_functions(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """Functions of a table, as :func:`parse_graph` gives them: Parquet, JSON lines ("json") or any other kind that Spark reads.
+
+    The table has idx, name, called_names and caller_names, one row a function,
+    so it is read by as many tasks as it has splits, and no function needs the
+    whole document in one cell. A row's place is its idx: rows without one raise.
+    """
+    schema = "idx long, name string, called_names array<string>, caller_names array<string>"
+    rows = spark.read.schema(schema).format(kind).load(path)
+    none = F.array().cast("array<string>")
+    idx = F.coalesce("idx", F.raise_error(F.lit("a function without idx")).cast("long"))
+    names = lambda c: F.transform(F.coalesce(c, none), lambda x: F.coalesce(x, F.lit("")))
+    name = F.coalesce("name", F.lit(""))
+    return rows.select(idx.alias("idx"), name.alias("name"), name.alias("base_name"), names("called_names").alias("callees"), names("caller_names").alias("callers"))
 
 
 def normalise(functions: DataFrame, rules: RuleSet | None = None, ignored: NameFilter | None = None) -> DataFrame:
@@ -66,12 +95,17 @@ def normalise(functions: DataFrame, rules: RuleSet | None = None, ignored: NameF
 
 
 def read_graph(spark: SparkSession, path: str, rules: RuleSet | None = None, ignored: NameFilter | None = None, normalised: bool = False) -> DataFrame:
-    """The functions of a JSON file, raw, or with ``normalised`` as :func:`normalise` makes them."""
+    """The functions of a file, raw, or with ``normalised`` as :func:`normalise` makes them.
+
+    A path that ends in .parquet or .jsonl is a table of functions (see
+    :func:`read_functions`); any other one is a JSON document.
+    """
+    kind = {"parquet": "parquet", "jsonl": "json"}.get(path.rstrip("/").rpartition(".")[2])
     try:
-        document = spark.read.text(path, wholetext=True)
+        document = None if kind else spark.read.text(path, wholetext=True)
+        functions = read_functions(spark, path, kind) if kind else parse_graph(document)
     except Exception as e:
         raise FileNotFoundError(f"File not found: {path}") from e
-    functions = parse_graph(document)
     return normalise(functions, rules, ignored) if normalised else functions
 
 

@@ -161,6 +161,47 @@ def test_reader_shapes(spark, tmp_path):
         read_graph(spark, str(tmp_path / "none.json"))
 
 
+def test_reader_of_odd_documents(spark):
+    of = lambda *texts: [(r.name, r.callees) for r in parse_graph(spark.createDataFrame([(t,) for t in texts], "value string")).orderBy("idx").collect()]
+    assert of('{"functions": null}') == of('{"functions": null, "language": "x"}') == of("{}") == of('{"functions": []}') == []
+    assert of(' [{"name": null, "called_names": [null, "\u00e9"]}]') == [("", ["", "é"])]
+    assert of(json.dumps({f"{i:03}": {"name": f"n{i}"} for i in reversed(range(300))})) == [(f"n{i}", []) for i in range(300)]
+    for text in ('[{"name": 5}]', '[{"called_names": [{}]}]', '{"functions": [{"name": true}]}', '"text"', '[{"name": "a"'):
+        with pytest.raises(Exception, match="a text, not|JSON root|MALFORMED|malformed"):
+            of(text)
+
+
+def test_tables_of_functions(spark, tmp_path):
+    rows = [(1, "b", None, ["a", None]), (0, None, ["b"], [])]
+    table = spark.createDataFrame(rows, "idx long, name string, called_names array<string>, caller_names array<string>")
+    table.write.parquet(str(tmp_path / "g.parquet"))
+    table.write.json(str(tmp_path / "g.jsonl"))
+    for name in ("g.parquet", "g.jsonl"):
+        got = [(r.idx, r.name, r.base_name, r.callees, r.callers) for r in read_graph(spark, str(tmp_path / name)).orderBy("idx").collect()]
+        assert got == [(0, "", "", ["b"], []), (1, "b", "b", [], ["a", ""])]
+    spark.createDataFrame([(None, "x")], "idx long, name string").write.parquet(str(tmp_path / "bad.parquet"))
+    with pytest.raises(Exception, match="without idx"):
+        read_graph(spark, str(tmp_path / "bad.parquet")).collect()
+
+
+def test_overlap_scores(spark):
+    rng = random.Random(8)
+    names = [f"n{i}" for i in range(14)]
+    sets = lambda n: {(i, d): set(rng.sample(names, rng.randrange(9))) for i in range(n) for d in ("callee", "caller")}
+    a, b = sets(25), sets(25)
+    rows = lambda s: spark.createDataFrame([(i, d, x) for (i, d), v in s.items() for x in v], "idx long, dir string, name string")
+    for least in (0.3, 0.5, L, 1.0):
+        expected = {}
+        for v in range(25):
+            for u in range(25):
+                both = [(a[v, d], b[u, d]) for d in ("callee", "caller") if a[v, d] or b[u, d]]
+                if any(x & y for x, y in both):
+                    score = sum(len(x & y) / min(len(x), len(y)) if x and y else 0.0 for x, y in both) / len(both)
+                    if score >= least:
+                        expected[v, u] = pytest.approx(score)
+        assert {(r.v, r.u): r.score for r in S.overlap_scores(rows(a), rows(b), least).collect()} == expected
+
+
 def test_normalise(spark):
     g = graph(spark, ("_ZN11CWorldQueryC2Ev", ["std::x", "SE3::f", "GLWorker::g"], []), ("std::gone", [], []), ("SI3::h", [], ["A::A"]))
     rows = [(r.name, r.base_name, r.callees, r.callers) for r in normalise(g).orderBy("idx").collect()]
@@ -172,10 +213,14 @@ def test_report(spark, tmp_path):
     g2 = graph(spark, ("FUN_2", [], []), ("FUN_1", [], []), ("FUN_3", [], []))
     rows = R.report(match_of(spark, (0, 0), (1, 1), (2, 2)), g1, g2)
     assert sorted((r.address, r.known_name) for r in rows.collect()) == [("1", "g"), ("2", "C::f")]
-    R.write_report(rows, str(tmp_path / "out"))
-    assert [x for p in (tmp_path / "out").glob("part*") for x in p.read_text().splitlines()] == ["- 1 g", "- 2 C::f"]
-    R.write_grouped(rows, str(tmp_path / "grouped"))
-    assert "".join(p.read_text() for p in (tmp_path / "grouped").glob("part*")) == "[C]\n- 2 C::f\n\n[unnamed namespace]\n- 1 g\n\n"
+    for _ in range(2):  # a report is one file, and a later one takes its place
+        R.write_report(rows, str(tmp_path / "out.txt"))
+        assert (tmp_path / "out.txt").read_text() == "- 1 g\n- 2 C::f\n"
+    R.write_report(rows, str(tmp_path / "less.txt"), noise=("C::",))
+    assert (tmp_path / "less.txt").read_text() == "- 1 g\n"
+    R.write_grouped(rows, str(tmp_path / "grouped.txt"))
+    assert (tmp_path / "grouped.txt").read_text() == "[C]\n- 2 C::f\n\n[unnamed namespace]\n- 1 g\n\n"
+    assert not list(tmp_path.glob("*parts*"))
     assert [r.line for r in R.post_filter(R.lines(rows), noise=("C::",)).collect()] == ["- 1 g"]
 
 
@@ -192,7 +237,9 @@ def test_command_line(spark, tmp_path):
         (tmp_path / f"{name}.json").write_text(json.dumps({"functions": items}))
     argv = ["--base", str(tmp_path / "base.json"), "--ref", str(tmp_path / "ref.json"), "-o", str(tmp_path / "out"), "--checkInline", "--group", str(tmp_path / "grp")]
     assert main(argv, spark) == 0
-    assert "".join(p.read_text() for p in (tmp_path / "out").glob("part*")) == "- 77 Q::x\n"
+    assert (tmp_path / "out").read_text() == "- 77 Q::x\n"
+    assert main([*argv, "--filtered", str(tmp_path / "filtered")], spark) == 0
+    assert (tmp_path / "filtered").read_text() == "- 77 Q::x\n"
     assert main(["--base", "nowhere.json", "--ref", "nowhere.json"], spark) == 1
 
 

@@ -7,6 +7,7 @@ recomputation of the running stage only.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,11 +49,11 @@ class Scratch:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(name)
 
-    def save(self, df: DataFrame) -> DataFrame:
-        """Write df as Parquet and read it again: the lineage ends there."""
+    def save(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """Write df as Parquet, a folder for each value of ``by``, and read it again: the lineage ends there."""
         self._n += 1
         path = f"{self.root}/{self._n}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -62,6 +63,14 @@ class Scratch:
         for df in tables:
             path = self._path(df._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        # the shuffle files of what made them go when the driver collects its garbage, which else it seldom does
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+    def drop_folder(self, name: str) -> None:
+        """Delete what else was written below the root."""
+        path = self._path(f"{self.root}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:

@@ -33,8 +33,8 @@ from ._support import Scratch, arrow_batches, components, merged_components, who
 #: Ratio of the largest to the least size of a band, and pieces a part (k2 is 1).
 BAND, PIECES_SMALL, PIECES, SMALL_K = 1.5, 3, 2, 12
 MOST_WORDS = 1 << 18
-#: Tasks that the members of one pivot are dealt to.
-SALTS = 32
+#: Sets that one copy of their common partner is sent for.
+SHARED = 64
 #: The most members of a group that a task holds at once.
 CHUNK = 4096
 #: Groups of up to so many are compared many at a time.
@@ -365,48 +365,78 @@ def _signed(rows: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
     return rows.mapInArrow(run, "signature bigint, node bigint")
 
 
+def sketch(elements) -> bytes:
+    """A set's size, then a spread over about as many parts of the domain as it has elements."""
+    import numpy as np
+
+    bits = max(CELL_BITS, (len(elements) - 1).bit_length())
+    cells = np.bincount((elements >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return len(elements).to_bytes(4, "little") + np.minimum(cells, 255).astype(np.uint8).tobytes()
+
+
+def sketches_apart(x: bytes, y: bytes) -> tuple[int, int]:
+    """In how many elements two sets differ at least, and their sizes' sum. The finer sketch is folded to the coarser."""
+    import numpy as np
+
+    cells = sorted((np.frombuffer(v, np.uint8, offset=4) for v in (x, y)), key=len)
+    folded = np.minimum(cells[1].reshape(len(cells[0]), -1).sum(axis=1, dtype=np.int64), 255)
+    return int(np.abs(folded - cells[0]).sum()), int.from_bytes(x[:4], "little") + int.from_bytes(y[:4], "little")
+
+
+def sets_apart(x: bytes, y: bytes) -> tuple[int, int]:
+    """In how many elements two sets differ, and their sizes' sum."""
+    import numpy as np
+
+    both = np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
+    both.sort(kind="stable")
+    return len(both) - 2 * int((both[1:] == both[:-1]).sum()), len(both)
+
+
 def _elements(rows: DataFrame, words: int) -> DataFrame:
+    """node, elements, sketch of the sets of texts."""
+
     def run(batches):
         import pyarrow as pa
 
         shingler = Shingler(words)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "elements"])
+            every = [shingler(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f(x) for x in every], pa.binary()) for f in (lambda x: x.tobytes(), sketch))], names=["node", "elements", "sketch"])
 
-    return rows.mapInArrow(run, "node bigint, elements binary")
+    return rows.mapInArrow(run, "node bigint, elements binary, sketch binary")
 
 
-def _links(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets that link, by their elements.
+def _near(pairs: DataFrame, sets: DataFrame, apart, percent: int) -> DataFrame:
+    """The pairs (a, b) that may link by what ``apart`` makes of their sets' data. sets: node, data.
 
-    A set that has many partners is sent once for each salt, not with each of them.
+    Of each pair the set with more partners is the head. It is sent once for every
+    SHARED of them, the other one with the pair.
     """
-    salted = pairs.select(F.col("a").alias("pivot"), F.col("b").alias("node")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-    heads = salted.select("pivot", "salt").distinct().join(elements, F.col("pivot") == F.col("node"))
-    rows = salted.join(elements, "node").select("pivot", "salt", "node", "elements")
-    rows = rows.unionByName(heads.select("pivot", "salt", F.lit(None).cast("bigint").alias("node"), "elements"))
-    rows = rows.repartition(_tasks(rows), "pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("node").asc_nulls_first())
+    partners = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("partners"))
+    of = lambda c: partners.select(F.col("node").alias(c), F.col("partners").alias(f"n_{c}"))
+    head = F.col("n_a") >= F.col("n_b")
+    turned = pairs.join(of("a"), "a").join(of("b"), "b").select(F.when(head, F.col("a")).otherwise(F.col("b")).alias("head"), F.when(head, F.col("b")).otherwise(F.col("a")).alias("node"), F.greatest("n_a", "n_b").alias("n"))
+    salted = turned.select("head", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SHARED)).cast("int").alias("salt"))
+    heads = salted.select("head", "salt").distinct().join(sets, F.col("head") == F.col("node")).select("head", "salt", F.lit(None).cast("bigint").alias("node"), "data")
+    rows = heads.unionByName(salted.join(sets, "node").select("head", "salt", "node", "data"))
+    rows = rows.repartition(_tasks(rows), "head", "salt").sortWithinPartitions("head", "salt", F.col("node").asc_nulls_first())
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        head = np.empty(0, np.uint64)
+        own = b""
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for pivot, node, data in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                x = np.frombuffer(data, np.uint64)
+            for first, node, data in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                 if node is None:
-                    head = x
+                    own = data
                     continue
-                both = np.concatenate((head, x))
-                both.sort(kind="stable")
-                apart = len(both) - 2 * int((both[1:] == both[:-1]).sum())
-                if apart * (100 + percent) <= len(both) * (100 - percent):
-                    found.append((pivot, node))
+                differ, total = apart(own, data)
+                if differ * (100 + percent) <= total * (100 - percent):
+                    found.append((min(first, node), max(first, node)))
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.select("head", "salt", "node", "data").mapInArrow(run, "a bigint, b bigint")
 
 
 def _named_sets(rows: DataFrame, words: int, scratch: Scratch) -> tuple[DataFrame, int]:
@@ -419,15 +449,19 @@ def _named_sets(rows: DataFrame, words: int, scratch: Scratch) -> tuple[DataFram
     raise AssertionError
 
 
-def _elements_of(pairs: DataFrame, rows: DataFrame, sets: DataFrame, words: int) -> DataFrame:
-    """node, elements of every set in the pairs, from one text of each."""
+def _links(pairs: DataFrame, rows: DataFrame, sets: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) that link: sketches part most of the unlike ones, elements decide."""
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     holder = sets.where("n > 0").join(needed, "node", "left_semi").groupBy("node").agg(F.min(F.struct("_id", "_text")).alias("h"))
     holder = holder.select("node", F.col("h._id").alias("_of"), F.col("h._text").alias("_of_text"))
     if needed.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS:
         holder = F.broadcast(holder)
     texts = rows.join(holder, (F.col("_text") == F.col("_of_text")) & F.col("_id").eqNullSafe(F.col("_of"))).select("node", "_bytes").dropDuplicates(["node"])
-    return _elements(texts, words)
+    known = scratch.save(_elements(texts, words))
+    left = scratch.save(_near(pairs, known.select("node", F.col("sketch").alias("data")), sketches_apart, percent))
+    links = scratch.save(_near(left, known.select("node", F.col("elements").alias("data")), sets_apart, percent))
+    scratch.drop(known, left)
+    return links
 
 
 def _labelled(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -447,12 +481,6 @@ def _labelled(docs: DataFrame, words: int, percent: int, id_col: str, text_col:
     members = scratch.save(members.select("signature", "node", "m"))
     known = sets.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("spread").alias("spread"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        elements = scratch.save(_elements_of(pairs, rows, sets, words))
-        links = scratch.save(_links(pairs, elements, percent))
-        scratch.drop(elements)
-        return links
-
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
     dealt = members.select("signature", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"), "node", chunks.alias("chunks"))
     met = scratch.save(_stars(dealt.join(known, "node"), percent))
@@ -462,14 +490,14 @@ def _labelled(docs: DataFrame, words: int, percent: int, id_col: str, text_col:
         stars = stars.union(_stars(heads.join(known, "node"), percent).select("a", "b"))
     stars = scratch.save(stars.distinct())
     scratch.drop(met)
-    links = verified(stars)
+    links = _links(stars, rows, sets, words, percent, scratch)
     scratch.drop(stars)
     found = scratch.save(components(links, scratch))
     scratch.drop(links)
 
     loose = scratch.save(_loose(_blocks(members, found).join(known, "node"), percent))
     scratch.drop(members)
-    links = verified(loose)
+    links = _links(loose, rows, sets, words, percent, scratch)
     final = scratch.save(merged_components(found, links, scratch))
     scratch.drop(loose, found, links)
 

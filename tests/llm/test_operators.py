@@ -130,6 +130,40 @@ def test_mixing(spark, odd, odd_rows):
     assert Counter(r.doc_id for r in mixing.take_copies(odd).collect()) == Counter({k: v for k, v in copies.items() if v})
 
 
+def test_line_runs_of_several_sessions(spark, tmp_path):
+    rng, total, root = random.Random(9), Counter(), f"file://{tmp_path}/runs"
+    for batch in range(7):
+        counts = Counter(rng.randrange(40) for _ in range(60))
+        rows = [(i, -i, n) for i, n in counts.items()]
+        runs = line_dedup.LineRuns(spark, root, 12, buckets=3 + batch % 2)  # opened again for every batch
+        common = {r.h1 for r in runs.common().collect()}
+        assert common == {i for i, n in total.items() if n >= 12}
+        runs.add(spark.createDataFrame(rows, "h1 long, h2 long, n long"))
+        total += counts
+        assert len(runs.runs) <= 3 and len(list((tmp_path / "runs").glob("level*"))) == len(runs.runs)
+        runs.close()
+    assert not spark.catalog.listTables()
+
+
+def test_batches_meet_runs_by_merge_joins_without_moving_them(spark, tmp_path):
+    runs = line_dedup.LineRuns(spark, f"file://{tmp_path}/runs", 2, buckets=4)
+    runs.add(spark.range(50).selectExpr("id AS h1", "id AS h2", "1L AS n"))
+    counts = spark.range(30, 80).selectExpr("id AS h1", "id AS h2", "1L AS n").repartition(4, "h1", "h2").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+    met = counts.join(runs._read(runs.runs[0]).where("n >= 2"), ["h1", "h2"], "left_anti")
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and plan.count("Exchange") == 1
+    runs.close()
+
+
+def test_line_dedup_without_broadcast(spark, odd, monkeypatch):
+    both = []
+    for most in (10**6, 0):
+        monkeypatch.setattr(line_dedup, "BROADCAST_LINES", most)
+        rows = odd.union(odd).union(documents(spark, [(70 + i, f"same line\nown {i}\nsame line", None, None) for i in range(12)]))
+        both.append(Counter(map(str, line_dedup.drop_common_lines(rows, keep=("lang", "source")).collect())))
+    assert both[0] == both[1] and any("n_dropped=2" in r for r in both[0])
+
+
 def test_line_dedup(spark, odd, odd_rows):
     rng = random.Random(2)
     more = [(100 + i, "\n".join(rng.choice(["Shared A ", "shared a", "other", f"own {i}", "", "  "]) for _ in range(5)), None, None) for i in range(30)]
@@ -210,6 +244,19 @@ def test_groups_larger_than_a_task(spark, monkeypatch, chunk):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 3, 80)
 
 
+def test_sketches_bound_differences():
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        x = np.unique(rng.integers(0, 2**63, rng.integers(1, 3000)).astype(np.uint64) * np.uint64(2))
+        y = np.unique(np.concatenate((x[: rng.integers(0, len(x) + 1)], rng.integers(0, 2**63, rng.integers(1, 800)).astype(np.uint64))))
+        if rng.random() < 0.3:  # many elements in one part of the domain
+            x, y = (np.unique(np.concatenate((v, rng.integers(0, 2**40, 700).astype(np.uint64)))) for v in (x, y))
+        apart, total = ngram_join.sets_apart(x.tobytes(), y.tobytes())
+        assert (apart, total) == (len(np.setxor1d(x, y)), len(x) + len(y))
+        bound, of = ngram_join.sketches_apart(ngram_join.sketch(x), ngram_join.sketch(y))
+        assert of == total and bound <= apart
+
+
 def test_names_that_two_sets_share_are_not_used(spark, monkeypatch, tmp_path):
     rows = documents(spark, [(i, f"one two three four w{i % 3}", None, None) for i in range(6)])
     node, scratch = ngram_join._node, Scratch(spark, "t")

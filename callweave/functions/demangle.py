@@ -1,7 +1,7 @@
 """C++ symbol names, readable: the Itanium scheme, without arguments and return types.
 
-The C++ runtime's own demangler is called where it is at hand; elsewhere a small
-reader of nested names, templates and substitutions takes its place.
+The C++ runtime's own demangler is called. A machine without it raises, so that
+executors can't give different names.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def _runtime():
         free = ctypes.CDLL(None).free
         free.argtypes = [ctypes.c_void_p]
         return call, free
-    return None
+    raise RuntimeError("no C++ runtime with a demangler on this machine")
 
 
 def _by_runtime(name: str) -> str | None:
@@ -42,107 +42,6 @@ def _by_runtime(name: str) -> str | None:
     return text
 
 
-#: One-letter types of the scheme.
-BUILTIN = {"v": "void", "b": "bool", "c": "char", "a": "signed char", "h": "unsigned char", "s": "short", "t": "unsigned short", "i": "int", "j": "unsigned int", "l": "long", "m": "unsigned long", "x": "long long", "y": "unsigned long long", "f": "float", "d": "double"}
-
-
-class _Reader:
-    """Names and types of the part of the scheme that call graphs mostly hold."""
-
-    def __init__(self, text: str):
-        self.text, self.at, self.seen, self.arguments = text, 0, [], []
-
-    def has(self, what: str) -> bool:
-        if self.text.startswith(what, self.at):
-            self.at += len(what)
-            return True
-        return False
-
-    def plain(self) -> str:
-        m = re.compile(r"\d+").match(self.text, self.at)
-        if not m:
-            raise ValueError(self.text)
-        end = m.end() + int(m[0])
-        out = self.text[m.end() : end]
-        self.at = end
-        return out
-
-    def indexed(self, table: list[str]) -> str:
-        m = re.compile(r"([0-9A-Z]*)_").match(self.text, self.at)
-        if not m:
-            raise ValueError(self.text)
-        self.at = m.end()
-        return table[int(m[1], 36) + 1 if m[1] else 0]
-
-    def templates(self) -> list[str]:
-        out = []
-        while not self.has("E"):
-            out.append(self.type())
-        return out
-
-    def name(self) -> str:
-        if not self.has("N"):
-            out = self.plain()
-            if self.text.startswith("I", self.at):
-                self.seen.append(out)
-                self.at += 1
-                self.arguments = self.templates()
-                out += f"<{', '.join(self.arguments)}>"
-            return out
-        while self.at < len(self.text) and self.text[self.at] in "rVK":
-            self.at += 1
-        out = last = ""
-        while not self.has("E"):
-            if self.has("S"):
-                out = last = self.indexed(self.seen)
-                continue
-            if self.has("I"):
-                self.arguments = self.templates()
-                out += f"<{', '.join(self.arguments)}>"
-            elif (m := re.compile(r"([CD])[0-3]").match(self.text, self.at)) is not None:
-                self.at = m.end()
-                out += "::" + ("~" if m[1] == "D" else "") + last
-                continue
-            else:
-                last = self.plain()
-                out = f"{out}::{last}" if out else last
-            if not self.text.startswith("E", self.at):
-                self.seen.append(out)
-        return out
-
-    def type(self) -> str:
-        for mark, tail in (("P", "*"), ("R", "&"), ("O", "&&"), ("K", " const"), ("V", " volatile")):
-            if self.has(mark):
-                out = self.type() + tail
-                self.seen.append(out)
-                return out
-        if self.has("S"):
-            return self.indexed(self.seen)
-        if self.has("T"):
-            out = self.indexed(self.arguments)
-            self.seen.append(out)
-            return out
-        one = self.text[self.at : self.at + 1]
-        if one in BUILTIN:
-            self.at += 1
-            return BUILTIN[one]
-        out = self.name()
-        self.seen.append(out)
-        return out
-
-
-def _by_reader(name: str) -> str | None:
-    if not name.startswith("_Z"):
-        return None
-    reader = _Reader(name[2:])
-    try:
-        out = reader.name()
-        # a template function outside a class tells its return type, then its arguments
-        return out + "()" if reader.at < len(reader.text) else out
-    except (ValueError, IndexError):
-        return None
-
-
 _CLOSE = {")": "(", ">": "<", "]": "["}
 
 
@@ -188,7 +87,7 @@ def without_return_type(name: str) -> str:
 @lru_cache(maxsize=200_000)
 def demangled(name: str) -> str:
     """A readable name, or the name itself if it isn't a mangled one."""
-    found = _by_runtime(name) if _runtime() else _by_reader(name)
+    found = _by_runtime(name)
     if found is None:
         return name
     while " >" in found:

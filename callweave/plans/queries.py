@@ -28,6 +28,11 @@ REACH_LEAST = widened(0.5)
 _kept: dict[tuple, DataFrame] = {}
 
 
+def forget() -> None:
+    """Let go of the parts that a session keeps: later queries compute them anew."""
+    _kept.clear()
+
+
 class Pair:
     """The derived graphs of a folder and their match, each part computed once a session."""
 

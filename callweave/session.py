@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to all executors, for clusters where it isn't installed.
+
+    Functions that run there are named by their module, not sent with the plan.
+    """
+    root = Path(__file__).parent
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='callweave-')}/callweave", "zip", root.parent, root.name))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -19,6 +19,10 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Temporary scratch folders of local sessions, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared scratch folder; a temporary one only in plain local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,10 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="callweave-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(named)
+        named = _LOCAL.get(context.applicationId) or _LOCAL.setdefault(context.applicationId, tempfile.mkdtemp(prefix="callweave-"))
     return named
 
 
@@ -74,7 +75,10 @@ class Scratch:
 
 
 def arrow_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
-    """Bound an Arrow batch by rows and bytes, so long texts don't add up."""
+    """Bound an Arrow batch by rows and bytes, so long texts don't add up.
+
+    Batches are made when results are read, so the session keeps these settings.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 

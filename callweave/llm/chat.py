@@ -124,8 +124,21 @@ class Generation:
     body: tuple
 
 
-_TAG = re.compile(r"\{\{(.*?)\}\}|\{%-?(.*?)-?%\}|\{#.*?#\}", re.S)
-_TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(\d+)|([A-Za-z_]\w*)|(==|!=|<=|>=|[<>+|.()]))")
+#: Output, tag and comment, each between dashes that take away the white space next to them.
+_TAG = re.compile(r"\{\{(?P<a>-?)(?P<out>.*?)(?P<b>-?)\}\}|\{%(?P<c>-?)(?P<tag>.*?)(?P<d>-?)%\}|\{#(?P<e>-?).*?(?P<f>-?)#\}", re.S)
+_TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(\d+)|([A-Za-z_]\w*)|(==|!=|<=|>=|[<>+|.()\[\]]))")
+
+
+def _unquoted(text: str) -> str:
+    return re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), text[1:-1])
+
+
+def _applied(name: str, *values):
+    """A filter or an operator on values; kinds that don't go together are the template's fault."""
+    try:
+        return (FILTERS[name] if len(values) == 1 else COMPARE[name])(*values)
+    except (TypeError, AttributeError) as e:
+        raise TemplateError(f"{name} of {', '.join(type(v).__name__ for v in values)}") from e
 
 
 class _Expression:
@@ -194,7 +207,7 @@ class _Expression:
 
     def atom(self):
         if (text := self.accept(0)) is not None:
-            return Const(re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), text[1:-1]))
+            return Const(_unquoted(text))
         if (number := self.accept(1)) is not None:
             return Const(int(number))
         if self.accept(3, "("):
@@ -208,28 +221,31 @@ class _Expression:
         if name in ("true", "false"):
             return Const(name == "true")
         path = [name]
-        while self.accept(3, "."):
-            part = self.accept(2)
-            if part is None:
+        while mark := self.accept(3, ".", "["):
+            part = self.accept(2) if mark == "." else self.accept(0)
+            if part is None or mark == "[" and not self.accept(3, "]"):
                 raise TemplateError("a name lacks its end")
-            path.append(part)
+            path.append(part if mark == "." else _unquoted(part))
         return Name(tuple(path))
 
 
 def parse(source: str) -> tuple:
     """Syntax tree of a template."""
     pieces: list[tuple[str, str]] = []
-    at = 0
-    for m in _TAG.finditer(source):
-        if m.start() > at:
-            pieces.append(("text", source[at : m.start()]))
-        if m[1] is not None:
-            pieces.append(("out", m[1]))
-        elif m[2] is not None:
-            pieces.append(("tag", m[2].strip()))
-        at = m.end()
-    if at < len(source):
-        pieces.append(("text", source[at:]))
+    at, trimmed = 0, False
+    for m in [*_TAG.finditer(source), None]:
+        text = source[at : m.start()] if m else source[at:]
+        text = text.lstrip() if trimmed else text
+        text = text.rstrip() if m and (m["a"] or m["c"] or m["e"]) else text
+        if text:
+            pieces.append(("text", text))
+        if m is None:
+            break
+        if m["out"] is not None:
+            pieces.append(("out", m["out"]))
+        elif m["tag"] is not None:
+            pieces.append(("tag", m["tag"].strip()))
+        at, trimmed = m.end(), bool(m["b"] or m["d"] or m["f"])
     position = 0
 
     def body(*ends: str) -> tuple[tuple, str]:
@@ -284,7 +300,7 @@ def fold(node):
         return tuple(out)
     if isinstance(node, Filter):
         of = fold(node.of)
-        return Const(FILTERS[node.name](of.value)) if isinstance(of, Const) else Filter(node.name, of)
+        return Const(_applied(node.name, of.value)) if isinstance(of, Const) else Filter(node.name, of)
     if isinstance(node, Not):
         of = fold(node.of)
         return Const(not of.value) if isinstance(of, Const) else Not(of)
@@ -293,7 +309,7 @@ def fold(node):
         if isinstance(left, Const) and node.op in ("and", "or"):
             return right if bool(left.value) == (node.op == "and") else left
         if isinstance(left, Const) and isinstance(right, Const):
-            return Const(COMPARE[node.op](left.value, right.value))
+            return Const(_applied(node.op, left.value, right.value))
         return Binary(node.op, left, right)
     if isinstance(node, Output):
         return Output(fold(node.of))
@@ -334,8 +350,8 @@ def _value(node) -> Callable[[dict], Any]:
 
         return read
     if isinstance(node, Filter):
-        call, of = FILTERS[node.name], _value(node.of)
-        return lambda env: call(of(env))
+        of = _value(node.of)
+        return lambda env: _applied(node.name, of(env))
     if isinstance(node, Not):
         of = _value(node.of)
         return lambda env: not of(env)
@@ -344,8 +360,7 @@ def _value(node) -> Callable[[dict], Any]:
         return lambda env: left(env) and right(env)
     if node.op == "or":
         return lambda env: left(env) or right(env)
-    apply = COMPARE[node.op]
-    return lambda env: apply(left(env), right(env))
+    return lambda env: _applied(node.op, left(env), right(env))
 
 
 def _render(node, marked: bool) -> Callable[[dict], Iterator[Piece]]:

@@ -319,7 +319,9 @@ def training_rows(docs: DataFrame, most_rows: int = MOST_ROWS, most_a_language:
     if not ids:
         return [], []
     wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}").distinct()
-    rows = known.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id").collect()  # at most most_rows ids
+    rows = known.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id")
+    rows = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()  # of at most most_rows ids one text each
+    rows = sorted(rows, key=lambda r: (r.lang, r.text))
     return [r.text for r in rows], [r.lang for r in rows]
 
 

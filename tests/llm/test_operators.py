@@ -545,6 +545,17 @@ def test_chat(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_white_space_subscripts_and_wrong_kinds():
+    show = lambda source, **v: "".join(t for t, _ in chat.compile_template(source)(**v))
+    assert show("a  {%- if 1 == 1 -%}  b  {%- endif %}  c {#- x -#} d {{- 'e' -}} f") == "ab  cdef"
+    assert show("{% for m in messages %}[{{ m['role'] }}|{{ m[\"text\"] }}]{% endfor %}", messages=[{"role": "r", "text": "t -"}]) == "[r|t -]"
+    for source in ("{{ 1 + 'a' }}", "{{ m['role' }}", "{{ m[role] }}", "{{ 1 < 'a' }}"):
+        with pytest.raises(chat.TemplateError):
+            chat.compile_template(source)
+    with pytest.raises(chat.TemplateError):
+        show("{{ x + 'a' }}", x=1)
+
+
 def test_template_language():
     def text(source, **variables):
         return "".join(t for t, _ in chat.compile_template(source)(**variables))

@@ -64,7 +64,9 @@ class Scratch:
         for df in tables:
             path = self._path(df._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        # the shuffle files of what made them go when the driver collects its garbage, which else it seldom does
+
+    def release(self) -> None:
+        """Let shuffle files of finished steps go: they stay until the driver collects its garbage, which it seldom does."""
         gc.collect()
         self.spark._jvm.System.gc()
 

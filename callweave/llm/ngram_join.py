@@ -461,6 +461,7 @@ def _links(pairs: DataFrame, rows: DataFrame, sets: DataFrame, words: int, perce
     left = scratch.save(_near(pairs, known.select("node", F.col("sketch").alias("data")), sketches_apart, percent))
     links = scratch.save(_near(left, known.select("node", F.col("elements").alias("data")), sets_apart, percent))
     scratch.drop(known, left)
+    scratch.release()
     return links
 
 
@@ -479,6 +480,7 @@ def _labelled(docs: DataFrame, words: int, percent: int, id_col: str, text_col:
     signed = _signed(rows, words, percent, seed).withColumn("nth", F.dense_rank().over(order)).withColumn("before", F.lag("node").over(order))
     members = signed.withColumn("m", F.max("nth").over(by)).where("m > 1 AND (before IS NULL OR before < node)")
     members = scratch.save(members.select("signature", "node", "m"))
+    scratch.release()
     known = sets.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("spread").alias("spread"))
 
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")

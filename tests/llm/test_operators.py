@@ -471,6 +471,51 @@ def test_marginals_are_forward_backward():
     assert np.allclose(language.marginals(e, starts, a, pi), np.concatenate(expected))
 
 
+def test_subsequence_kernel():
+    """The kernel by enumeration, and the machine's table against its sum over landmarks."""
+    from itertools import combinations
+
+    def features(unit):
+        out = defaultdict(float)
+        for at in combinations(range(len(unit)), toxicity.ORDER):
+            if at[-1] - at[0] < toxicity.MOST_SPAN:
+                out["".join(unit[i] for i in at)] += toxicity.DECAY ** (at[-1] - at[0] + 1 - toxicity.ORDER)
+        return out
+
+    def kernel(u, v):
+        x, y = features(u), features(v)
+        return sum(w * y[k] for k, w in x.items() if k in y) / math.sqrt(sum(w * w for w in x.values()) * sum(w * w for w in y.values()))
+
+    rng = random.Random(12)
+    words = [toxicity.unit_of("".join(rng.choice("abcdé1") for _ in range(rng.randint(2, 14))).encode()) for _ in range(40)]
+    words += [w for w in toxicity.broken(words[0])]
+    marks = sorted(set(words[:9]))
+    columns, phi, white = toxicity._landmark_space(marks)
+    found = toxicity._kernel_rows(words, columns, phi)
+    assert found == pytest.approx(np.array([[kernel(u, v) for v in marks] for u in words]), abs=1e-5)
+    assert white.T @ np.array([[kernel(u, v) for v in marks] for u in marks]) @ white == pytest.approx(np.eye(white.shape[1]), abs=1e-4)
+    weights = np.array([rng.uniform(-1, 1) for _ in marks])
+    table = np.zeros(toxicity.SYMBOLS**toxicity.ORDER, np.float32)
+    table[columns] = phi[:-1] @ weights
+    assert toxicity.values(words, table, 0.25) == pytest.approx(found @ weights + 0.25, abs=1e-4)
+
+
+def test_every_insult_is_learned():
+    rng = random.Random(13)
+    plain = lambda n: [rng.choice("ba ko mi re tu lo sa ne".split()) + rng.choice("ba ko mi re tu lo".split()) for _ in range(n)]
+    insults = ["grumpf", "zwix", "plotz", "scumm", "vrelk", "dornt"]
+    texts, toxic = [], []
+    for i in range(240):
+        words = plain(40)
+        if i % 3 == 0:
+            for place in rng.sample(range(40), 4):
+                words[place] = rng.choice(insults)
+        texts.append(" ".join(words).encode())
+        toxic.append(int(i % 3 == 0))
+    table, bias, weights, offset = toxicity.train(texts, toxic)
+    assert min(toxicity.values([toxicity.unit_of(w.encode()) for w in insults], table, bias)) > 0 > max(toxicity.values([toxicity.unit_of(w.encode()) for w in plain(50)], table, bias))
+
+
 def test_toxicity(spark):
     rng = random.Random(10)
     plain = lambda n: ["".join(rng.choice(["ba", "ko", "mi", "re", "tu", "lo"]) for _ in range(rng.randint(1, 4))) for _ in range(n)]

@@ -160,3 +160,20 @@ def op3_entropy_mix(spark, sf_dir: str) -> DataFrame:
     """Contract digest of :func:`mix_sources`."""
     out = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "rate")
+
+
+def mix_targets(spark, sf_dir: str) -> DataFrame:
+    """What of :func:`mix_sources` follows from the sources alone: every document's size, source_size and target."""
+    out = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+MIX_TARGETS_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS words, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+o AS (SELECT *, CAST(2 AS DOUBLE) * words / w AS full_at, (SELECT CAST(1.5 AS DOUBLE) * sum(words) FROM s) - coalesce(sum(CAST(2 AS DOUBLE) * words) OVER before, 0) AS rest,
+        (SELECT sum(w) FROM s) - coalesce(sum(w) OVER before, 0) AS weights
+      FROM s WINDOW before AS (ORDER BY CAST(2 AS DOUBLE) * words / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT coalesce(arg_min(rest / weights, full_at) FILTER (WHERE full_at > rest / weights), max(full_at)) AS level FROM o)
+SELECT d.doc_id, d.size, s.words AS source_size, round(least(level * w, CAST(2 AS DOUBLE) * words), 3) AS target FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source, level
+"""

@@ -7,9 +7,9 @@ from .cap_filters import OP5_SQL, op5_cap_filters
 from .chat import OP9_SQL, op9_chat_template
 from .language import op1_crf_language
 from .line_dedup import OP2_SQL, op2_line_runs
-from .mixing import op3_entropy_mix
+from .mixing import MIX_TARGETS_SQL, mix_targets, op3_entropy_mix
 from .ngram_join import OP4_SQL, op4_partenum
-from .quality import op6_ngram_ratio
+from .quality import BASE_RULES_SQL, base_rules, op6_ngram_ratio
 from .sharding import op7_minimax_shards
 from .toxicity import op8_subsequence_svm
 
@@ -24,6 +24,8 @@ QUERIES = {
     "op7_minimax_shards": op7_minimax_shards,
     "op8_subsequence_svm": op8_subsequence_svm,
     "op9_chat_template": op9_chat_template,
+    "mix_targets": mix_targets,
+    "base_rules": base_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -31,4 +33,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_partenum": OP4_SQL,
     "op5_cap_filters": OP5_SQL,
     "op9_chat_template": OP9_SQL,
+    "mix_targets": MIX_TARGETS_SQL,
+    "base_rules": BASE_RULES_SQL,
 }

@@ -77,7 +77,7 @@ def test_tokens_decode_to_the_text(spark, monkeypatch):
 
 
 @pytest.mark.skipif(not DATA.is_dir(), reason="no tables")
-@pytest.mark.parametrize("name", ["op2_line_runs", "op4_partenum", "op5_cap_filters", "op9_chat_template"])
+@pytest.mark.parametrize("name", ["op2_line_runs", "op4_partenum", "op5_cap_filters", "op9_chat_template", "mix_targets", "base_rules"])
 def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from callweave.llm.queries import ORACLE_SQL, QUERIES

@@ -50,11 +50,11 @@ class Scratch:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(name)
 
-    def save(self, df: DataFrame, by: str | None = None) -> DataFrame:
-        """Write df as Parquet, a folder for each value of ``by``, and read it again: the lineage ends there."""
+    def save(self, df: DataFrame) -> DataFrame:
+        """Write df as Parquet and read it again: the lineage ends there."""
         self._n += 1
         path = f"{self.root}/{self._n}"
-        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -76,7 +76,7 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def arrow_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+def arrow_batches(spark: SparkSession, rows: int = 500, size: str = "2m") -> None:
     """Bound an Arrow batch by rows and bytes, so long texts don't add up.
 
     Batches are made when results are read, so the session keeps these settings.

@@ -24,6 +24,8 @@ from ._support import ASCII_SPACE, Scratch, arrow_batches
 
 KEY = ["h1", "h2"]
 BATCHES, FANOUT = 4, 2
+#: Lines that a bucket is to get, and the least and most buckets of a run: each is a file and a task.
+LINES_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 1_000_000, 8, 4096
 #: Up to so many common lines (16 bytes each) go to all executors, beyond they are joined.
 BROADCAST_LINES = 200_000
 
@@ -41,9 +43,10 @@ class LineRuns:
     state before it.
     """
 
-    def __init__(self, spark: SparkSession, root: str, min_docs: int, fanout: int = FANOUT, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, root: str, min_docs: int, fanout: int = FANOUT, buckets: int = LEAST_BUCKETS):
         self.spark, self.root, self.min_docs, self.fanout = spark, root, min_docs, fanout
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # as many as a batch is dealt to, so that a task writes one file
+        self.buckets = spark.range(1).repartition(buckets, "id")._jdf.queryExecution().logical().numPartitions()
         #: (level, name, buckets) of every run, oldest first, and the tables that stand for them.
         self.runs: list[tuple[int, str, int]] = []
         self._tables: dict[str, str] = {}
@@ -163,8 +166,9 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, i
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"), text.alias("_bytes"), F.struct(*keep).alias("_kept") if keep else F.lit(0).alias("_kept"))
     lines = scratch.save(_line_hashes(rows.drop("_kept"), min_chars))
     counts = lines.groupBy(F.pmod(F.xxhash64("_id", "_text"), F.lit(batches)).cast("int").alias("batch"), *KEY).agg(F.count("*").alias("n"))
-    staged = scratch.save(counts, by="batch")
-    runs = LineRuns(spark, f"{scratch.root}/runs", min_docs)
+    staged = scratch.save(counts)
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, staged.count() // LINES_A_BUCKET))
+    runs = LineRuns(spark, f"{scratch.root}/runs", min_docs, buckets=buckets)
     for i in range(batches):
         runs.add(staged.where(F.col("batch") == i).select(*KEY, "n"))
     scratch.drop(staged)

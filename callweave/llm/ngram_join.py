@@ -39,8 +39,8 @@ SHARED = 64
 CHUNK = 4096
 #: Groups of up to so many are compared many at a time.
 SMALL = 64
-#: Parts of the domain, as bits, that spreads count; and how many of them stand together in the coarse ones.
-CELL_BITS, COARSE = 8, 16
+#: Parts of the domain, as bits, that spreads count; how many of them stand together in the coarse ones; the most bits of sketches.
+CELL_BITS, COARSE, SKETCH_BITS = 7, 8, 10
 #: Up to so many sets (40 bytes each) the texts that are needed again are found by a broadcast, beyond by a shuffle.
 BROADCAST_SETS = 200_000
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -147,6 +147,46 @@ def spread(elements) -> bytes:
     return np.minimum(cells, 255).astype(np.uint8).tobytes()
 
 
+def sketch(elements) -> bytes:
+    """A set's size, then a spread over more parts of the domain the more elements it has."""
+    import numpy as np
+
+    bits = min(SKETCH_BITS, max(CELL_BITS, (len(elements) - 1).bit_length() - 2))
+    cells = np.bincount((elements >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return len(elements).to_bytes(4, "little") + np.minimum(cells, 255).astype(np.uint8).tobytes()
+
+
+def folded(sketches: list[bytes], bits: int):
+    """Sketches of at least so many bits as a table of spreads over 2 ** bits parts."""
+    import numpy as np
+
+    out = np.empty((len(sketches), 1 << bits), np.uint8)
+    sizes = np.array([len(x) for x in sketches])
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        for k in range(0, len(at), 2000):
+            cells = np.frombuffer(b"".join([sketches[i][4:] for i in at[k : k + 2000]]), np.uint8).reshape(-1, 1 << bits, (size - 4) >> bits)
+            out[at[k : k + 2000]] = np.minimum(cells.sum(axis=2, dtype=np.int32), 255)
+    return out
+
+
+def refined(sketches: list[bytes], detail, n, i, j, percent: int):
+    """Which of the pairs (i, j) sketches let link, each pair at the detail (number of parts) that both have."""
+    import numpy as np
+
+    keep = np.ones(len(i), bool)
+    least = np.minimum(detail[i], detail[j])
+    for cells in np.unique(least[least > 1 << CELL_BITS]).tolist():
+        at = np.flatnonzero(least == cells)
+        step = max(1, (1 << 22) // cells)
+        for k in range(0, len(at), step):
+            own = at[k : k + step]
+            rows, place = np.unique(np.concatenate((i[own], j[own])), return_inverse=True)
+            table = folded([sketches[r] for r in rows.tolist()], cells.bit_length() - 1)
+            keep[own] = possible(table, n[rows], place[: len(own)], place[len(own) :], percent)
+    return keep
+
+
 def _tasks(rows: DataFrame) -> int:
     """As many tasks as a shuffle has: what they compute is more than their bytes tell."""
     return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -164,10 +204,11 @@ def possible(spreads, n, i, j, percent: int):
     import numpy as np
 
     out = np.empty(len(i), bool)
-    for k in range(0, len(i), 20_000):
-        a, b = i[k : k + 20_000], j[k : k + 20_000]
+    step = max(1, (1 << 22) // spreads.shape[1])
+    for k in range(0, len(i), step):
+        a, b = i[k : k + step], j[k : k + step]
         apart = np.abs(spreads[a].astype(np.int16) - spreads[b]).sum(axis=1, dtype=np.int64)
-        out[k : k + 20_000] = apart * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
+        out[k : k + step] = apart * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
     return out
 
 
@@ -297,33 +338,36 @@ def _blocks(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _loose(blocks: DataFrame, percent: int) -> DataFrame:
-    """a, b of members in different parts that may link. blocks: signature, x, y, own, node, part, n, spread."""
+    """a, b of members in different parts that may link. blocks: signature, x, y, own, node, part, n, sketch."""
     dealt = blocks.repartition(_tasks(blocks), "signature", "x", "y").sortWithinPartitions("signature", "x", "y", "node")
 
     def run(batches):
         import numpy as np
 
         for table, starts, ends in whole_groups(batches, 3):
-            spreads = spreads_of(table.column("spread"))
+            sketches = table.column("sketch").to_pylist()
+            detail, spreads = np.array([len(x) - 4 for x in sketches]), folded(sketches, CELL_BITS)
             coarse = _coarse(spreads)
             n, part, x, y, own = (table.column(c).to_numpy() for c in ("n", "part", "x", "y", "own"))
             small = (ends - starts <= SMALL) & (x[starts] == y[starts])
             for i, j in loose_in_small(spreads, coarse, n, part, starts[small], (ends - starts)[small], percent):
-                if len(i):
-                    yield _pairs(table, i, j)
+                keep = refined(sketches, detail, n, i, j, percent)
+                if keep.any():
+                    yield _pairs(table, i[keep], j[keep])
             for s, e in zip(starts[~small], ends[~small], strict=True):
                 at = np.arange(s, e)
                 left = at[own[s:e] == x[s]]
                 for i, j in loose_pairs(spreads, coarse, n, part, left, left if x[s] == y[s] else at[own[s:e] == y[s]], percent):
-                    if len(i):
-                        yield _pairs(table, i, j)
+                    keep = refined(sketches, detail, n, i, j, percent)
+                    if keep.any():
+                        yield _pairs(table, i[keep], j[keep])
 
-    found = dealt.select("signature", "x", "y", "own", "node", "part", "n", "spread").mapInArrow(run, "a bigint, b bigint, signature bigint, pivot bigint")
+    found = dealt.select("signature", "x", "y", "own", "node", "part", "n", "sketch").mapInArrow(run, "a bigint, b bigint, signature bigint, pivot bigint")
     return found.select("a", "b").distinct()
 
 
 def _sets(rows: DataFrame, words: int, seed: int) -> DataFrame:
-    """_id, _text, n, node, check, spread: size, name and spread of every document's set (node null if empty)."""
+    """_id, _text, n, node, check, spread, sketch: size, name and spreads of every document's set (node null if empty)."""
 
     def run(batches):
         import pyarrow as pa
@@ -333,10 +377,10 @@ def _sets(rows: DataFrame, words: int, seed: int) -> DataFrame:
             every = [shingler(text) for text in batch.column(2).to_pylist()]
             sizes, nodes = [len(x) for x in every], [_node(x, seed) if len(x) else (None, None) for x in every]
             named = [pa.array([h[i] for h in nodes], pa.int64()) for i in (0, 1)]
-            spreads = [spread(x) for x in every]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *named, pa.array(spreads, pa.binary())], names=["_id", "_text", "n", "node", "check", "spread"])
+            spreads = [pa.array([f(x) for x in every], pa.binary()) for f in (spread, sketch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *named, *spreads], names=["_id", "_text", "n", "node", "check", "spread", "sketch"])
 
-    return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, _text bigint, n bigint, node bigint, check bigint, spread binary")
+    return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, _text bigint, n bigint, node bigint, check bigint, spread binary, sketch binary")
 
 
 def _signed(rows: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
@@ -365,15 +409,6 @@ def _signed(rows: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
     return rows.mapInArrow(run, "signature bigint, node bigint")
 
 
-def sketch(elements) -> bytes:
-    """A set's size, then a spread over about as many parts of the domain as it has elements."""
-    import numpy as np
-
-    bits = max(CELL_BITS, (len(elements) - 1).bit_length())
-    cells = np.bincount((elements >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return len(elements).to_bytes(4, "little") + np.minimum(cells, 255).astype(np.uint8).tobytes()
-
-
 def sketches_apart(x: bytes, y: bytes) -> tuple[int, int]:
     """In how many elements two sets differ at least, and their sizes' sum. The finer sketch is folded to the coarser."""
     import numpy as np
@@ -393,17 +428,16 @@ def sets_apart(x: bytes, y: bytes) -> tuple[int, int]:
 
 
 def _elements(rows: DataFrame, words: int) -> DataFrame:
-    """node, elements, sketch of the sets of texts."""
+    """node, data: the sets of texts."""
 
     def run(batches):
         import pyarrow as pa
 
         shingler = Shingler(words)
         for batch in batches:
-            every = [shingler(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f(x) for x in every], pa.binary()) for f in (lambda x: x.tobytes(), sketch))], names=["node", "elements", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "data"])
 
-    return rows.mapInArrow(run, "node bigint, elements binary, sketch binary")
+    return rows.mapInArrow(run, "node bigint, data binary")
 
 
 def _near(pairs: DataFrame, sets: DataFrame, apart, percent: int) -> DataFrame:
@@ -436,7 +470,8 @@ def _near(pairs: DataFrame, sets: DataFrame, apart, percent: int) -> DataFrame:
                     found.append((min(first, node), max(first, node)))
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return rows.select("head", "salt", "node", "data").mapInArrow(run, "a bigint, b bigint")
+    # few rows of many tasks: the exchange lets them be written as few files
+    return rows.select("head", "salt", "node", "data").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _named_sets(rows: DataFrame, words: int, scratch: Scratch) -> tuple[DataFrame, int]:
@@ -450,7 +485,7 @@ def _named_sets(rows: DataFrame, words: int, scratch: Scratch) -> tuple[DataFram
 
 
 def _links(pairs: DataFrame, rows: DataFrame, sets: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) that link: sketches part most of the unlike ones, elements decide."""
+    """The pairs (a, b) that link, by the elements of their sets, each made of one text."""
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     holder = sets.where("n > 0").join(needed, "node", "left_semi").groupBy("node").agg(F.min(F.struct("_id", "_text")).alias("h"))
     holder = holder.select("node", F.col("h._id").alias("_of"), F.col("h._text").alias("_of_text"))
@@ -458,9 +493,8 @@ def _links(pairs: DataFrame, rows: DataFrame, sets: DataFrame, words: int, perce
         holder = F.broadcast(holder)
     texts = rows.join(holder, (F.col("_text") == F.col("_of_text")) & F.col("_id").eqNullSafe(F.col("_of"))).select("node", "_bytes").dropDuplicates(["node"])
     known = scratch.save(_elements(texts, words))
-    left = scratch.save(_near(pairs, known.select("node", F.col("sketch").alias("data")), sketches_apart, percent))
-    links = scratch.save(_near(left, known.select("node", F.col("elements").alias("data")), sets_apart, percent))
-    scratch.drop(known, left)
+    links = scratch.save(_near(pairs, known, sets_apart, percent))
+    scratch.drop(known)
     scratch.release()
     return links
 
@@ -482,22 +516,25 @@ def _labelled(docs: DataFrame, words: int, percent: int, id_col: str, text_col:
     members = scratch.save(members.select("signature", "node", "m"))
     scratch.release()
     known = sets.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("spread").alias("spread"))
+    sketched = sets.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
 
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
     dealt = members.select("signature", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"), "node", chunks.alias("chunks"))
-    met = scratch.save(_stars(dealt.join(known, "node"), percent))
+    met = scratch.save(_stars(dealt.join(known, "node"), percent).distinct())
     stars = met.where("a IS NOT NULL").select("a", "b")
     heads = met.where("pivot IS NOT NULL").select("signature", F.lit(0).alias("chunk"), F.col("pivot").alias("node"), F.lit(1).alias("chunks"))
     if heads.head(1):
         stars = stars.union(_stars(heads.join(known, "node"), percent).select("a", "b"))
     stars = scratch.save(stars.distinct())
-    scratch.drop(met)
+    kept = scratch.save(_near(stars, sketched.select("node", F.col("sketch").alias("data")), sketches_apart, percent))
+    scratch.drop(met, stars)
+    stars = kept
     links = _links(stars, rows, sets, words, percent, scratch)
     scratch.drop(stars)
     found = scratch.save(components(links, scratch))
     scratch.drop(links)
 
-    loose = scratch.save(_loose(_blocks(members, found).join(known, "node"), percent))
+    loose = scratch.save(_loose(_blocks(members, found).join(sketched, "node"), percent))
     scratch.drop(members)
     links = _links(loose, rows, sets, words, percent, scratch)
     final = scratch.save(merged_components(found, links, scratch))

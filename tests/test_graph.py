@@ -235,10 +235,9 @@ def test_command_line(spark, tmp_path):
     base = [{"name": "k", "called_names": ["FUN_77"], "caller_names": []}, {"name": "FUN_77", "called_names": [], "caller_names": ["k"]}]
     for name, items in (("ref", ref), ("base", base)):
         (tmp_path / f"{name}.json").write_text(json.dumps({"functions": items}))
-    argv = ["--base", str(tmp_path / "base.json"), "--ref", str(tmp_path / "ref.json"), "-o", str(tmp_path / "out"), "--checkInline", "--group", str(tmp_path / "grp")]
+    argv = ["--base", str(tmp_path / "base.json"), "--ref", str(tmp_path / "ref.json"), "-o", str(tmp_path / "out"), "--checkInline", "--group", str(tmp_path / "grp"), "--filtered", str(tmp_path / "filtered")]
     assert main(argv, spark) == 0
     assert (tmp_path / "out").read_text() == "- 77 Q::x\n"
-    assert main([*argv, "--filtered", str(tmp_path / "filtered")], spark) == 0
     assert (tmp_path / "filtered").read_text() == "- 77 Q::x\n"
     assert main(["--base", "nowhere.json", "--ref", "nowhere.json"], spark) == 1
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations, groupby
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.functions.names import as_bytes, is_unknown
@@ -25,46 +26,101 @@ def exact_match(g1: DataFrame, g2: DataFrame) -> DataFrame:
     return _as_match(pairs.groupBy("g1_idx").agg(F.min("g2_idx").alias("g2_idx")), "exact")
 
 
+#: Bytes of a name's end that are looked up with up to two edits.
+TAIL = 8
+#: A block of names has at most about so many g1 names.
+BLOCK = 4096
+
+
+def _bag(c: Column) -> Column:
+    """64 bits: how often, up to 4, bytes of each of 16 classes stand in a name. An edit adds one bit and removes one at most."""
+    kind = lambda i: F.ascii(F.substring(c, i, F.lit(1))).bitwiseAND(15) * 4
+    seen = lambda m, at: F.call_function("shiftrightunsigned", m, at).bitwiseAND(F.lit(15).cast("long"))
+    more = lambda m, at: m.bitwiseOR(F.call_function("shiftleft", (seen(m, at) * 2 + 1).bitwiseAND(F.lit(15).cast("long")), at))
+    return F.aggregate(F.sequence(F.lit(1), F.length(c)), F.lit(0).cast("long"), lambda m, i: more(m, kind(i)))
+
+
+def _without(c: Column, n: int, drop: int) -> Column:
+    """Hashes of what an n-byte text is without each ``drop`` of its bytes."""
+    kept = (sorted(set(range(n)) - set(gone)) for gone in combinations(range(n), drop))
+    # runs of neighbouring bytes are taken at once
+    runs = lambda at: [(g[0], len(g)) for g in ([x for _, x in group] for _, group in groupby(enumerate(at), lambda e: e[1] - e[0]))]
+    return F.array(*(F.xxhash64(F.concat(*(F.substring(c, start + 1, length) for start, length in runs(at)))) for at in kept))
+
+
 def similar_candidates(g1: DataFrame, g2: DataFrame, least: float) -> DataFrame:
     """g2_idx, g1_idx, score of names at least ``least`` similar, found by shared segments.
 
-    With at most k edits between two names, one of k + 1 pieces that the g1 name
-    is cut into stands unchanged in the g2 name. Some such piece, the j-th from 0,
-    has at most j edits before and k - j behind it, so it is moved by j at most,
-    and by no more than k - j from where the difference of lengths would put it.
-    Names join on lengths and pieces, so no pair without a common piece is ever
-    met. A name too short for k + 1 pieces joins on lengths alone. Only then
-    distances are taken, bounded by k.
+    With at most k edits between two names, either the last bytes of the g1 name
+    have at most two of them, or the bytes before have at most k - 3; then one of
+    k - 2 pieces that these are cut into stands unchanged in the g2 name. Where
+    such pieces would be short, the whole name is cut into k + 1 pieces instead.
+    Some unchanged piece, the j-th from 0, has at most j edits before it, so it is
+    moved by j at most. Ends within two edits have something in common when each
+    is without up to two bytes. Names join on lengths and pieces, in blocks, and
+    on such remains. A name too short for its pieces joins on lengths alone.
+    Counts of bytes part most names that met; of the rest distances are taken,
+    bounded by k.
     """
     if least <= 0:
         raise ValueError("a threshold must be above 0")
-    cut1 = g1.select(F.col("idx").alias("g1_idx"), as_bytes(F.col("name")).alias("b1")).where("length(b1) > 0").withColumn("l1", F.length("b1"))
-    cut2 = g2.select(F.col("idx").alias("g2_idx"), as_bytes(F.col("name")).alias("b2")).where("length(b2) > 0").withColumn("l2", F.length("b2"))
+
+    def named(g: DataFrame, n: int) -> DataFrame:
+        rows = g.select(F.col("idx").alias(f"g{n}_idx"), as_bytes(F.col("name")).alias(f"b{n}")).where(f"length(b{n}) > 0")
+        return rows.withColumn(f"l{n}", F.length(f"b{n}")).withColumn(f"m{n}", _bag(F.col(f"b{n}")))
+
+    cut1, cut2 = cut(named(g1, 1)), cut(named(g2, 2))
     # lengths that can reach the threshold, one more on each side for rounding
     lengths = lambda own: F.explode(F.sequence(F.greatest(F.lit(1), F.floor(F.col(own) * least).cast("int") - 1), F.ceil(F.col(own) / least).cast("int") + 1))
     edits = F.floor((1 - least) * F.greatest("l1", "l2") + 1e-6).cast("int")
-    pieces = F.col("k") + 1
-    one = cut1.withColumn("l2", lengths("l1")).withColumn("k", edits)
-    two = cut2.withColumn("l1", lengths("l2")).withColumn("k", edits)
-    start = lambda j: F.floor(j * F.col("l1") / pieces).cast("int")
-    # the number of a piece, its text, and 0 and nothing if the name is too short for pieces
-    short = pieces > F.col("l1")
+    # how many pieces, and of how many bytes together
+    tailed = (F.col("k") >= 3) & (F.col("l1") - TAIL >= 3 * (F.col("k") - 2))
+    with_k = lambda rows: rows.withColumn("k", edits).withColumn("n", F.when(tailed, F.col("k") - 2).otherwise(F.col("k") + 1)).withColumn("head", F.when(tailed, F.col("l1") - TAIL).otherwise(F.col("l1")))
+    one = with_k(cut1.withColumn("l2", lengths("l1"))).join(F.broadcast(cut2.select("l2").distinct()), "l2", "left_semi")
+    two = with_k(cut2.withColumn("l1", lengths("l2"))).join(F.broadcast(cut1.select("l1").distinct()), "l1", "left_semi")
+    start = lambda j: F.floor(j * F.col("head") / F.col("n")).cast("int")
+    # the number of a piece, its text, and -1 and nothing if the name is too short for pieces
+    short = F.col("n") > F.col("head")
     nothing = F.array(F.struct(F.lit(-1).alias("j"), F.lit("").alias("piece")))
-    own = F.transform(F.sequence(F.lit(0), F.col("k")), lambda j: F.struct(j.alias("j"), F.substring(F.col("b1"), start(j) + 1, start(j + 1) - start(j)).alias("piece")))
+    every = F.sequence(F.lit(0), F.col("n") - 1)
+    own = F.transform(every, lambda j: F.struct(j.alias("j"), F.substring(F.col("b1"), start(j) + 1, start(j + 1) - start(j)).alias("piece")))
 
     def moved(j):
         """Places in the g2 name where the j-th piece may stand."""
         more = F.col("l2") - F.col("l1")
-        low = F.greatest(F.lit(0), start(j) + F.greatest(-j, more - (F.col("k") - j)))
-        high = F.least(F.col("l2") - (start(j + 1) - start(j)), start(j) + F.least(j, more + (F.col("k") - j)))
+        low = F.greatest(F.lit(0), start(j) + F.greatest(-j, more - F.col("k")))
+        high = F.least(F.col("l2") - (start(j + 1) - start(j)), start(j) + F.least(j, more + F.col("k")))
         return F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
 
-    other = F.flatten(F.transform(F.sequence(F.lit(0), F.col("k")), lambda j: F.transform(moved(j), lambda p: F.struct(j.alias("j"), F.substring(F.col("b2"), p + 1, start(j + 1) - start(j)).alias("piece")))))
-    one = one.withColumn("x", F.explode(F.when(short, nothing).otherwise(own))).select("g1_idx", "b1", "l1", "l2", "k", "x.j", "x.piece")
-    two = two.withColumn("x", F.explode(F.array_distinct(F.when(short, nothing).otherwise(other)))).select("g2_idx", "b2", "l1", "l2", "x.j", "x.piece")
-    pairs = one.join(two, ["l1", "l2", "j", "piece"]).select("g2_idx", "g1_idx", "b1", "b2", "k").distinct()
-    apart = pairs.select("g2_idx", "g1_idx", F.greatest(F.length("b1"), F.length("b2")).cast("double").alias("long"), F.call_function("levenshtein", "b2", "b1", "k").alias("edits"))
-    return apart.where("edits >= 0").select("g2_idx", "g1_idx", (1.0 - F.col("edits") / F.col("long")).alias("score")).where(F.col("score") >= least)
+    other = F.flatten(F.transform(every, lambda j: F.transform(moved(j), lambda p: F.struct(j.alias("j"), F.substring(F.col("b2"), p + 1, start(j + 1) - start(j)).alias("piece")))))
+    key = ["l1", "l2", "j", "piece"]
+    one = one.withColumn("x", F.explode(F.when(short, nothing).otherwise(own))).select("g1_idx", "b1", "m1", "l1", "l2", "x.j", "x.piece")
+    two = two.withColumn("x", F.explode(F.array_distinct(F.when(short, nothing).otherwise(other)))).select("g2_idx", "b2", "m2", "l1", "l2", "k", "x.j", "x.piece")
+    blocks = cut(one.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"))
+    one = one.join(blocks, key, "left").withColumn("block", F.pmod(F.xxhash64("g1_idx"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
+    two = two.join(blocks, key, "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    # few bytes can meet in many pairs, so these tasks aren't merged by bytes
+    spark = g1.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = lambda rows: rows.repartition(tasks, *key, "block")
+    apart = [F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y)))) <= F.col("k") for x, y in (("m1", "m2"), ("m2", "m1"))]
+    distance = F.call_function("levenshtein", "b2", "b1", "k")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        return pairs.where(apart[0] & apart[1] & (distance >= 0)).select("g2_idx", "g1_idx", F.greatest("l1", "l2").cast("double").alias("long"), distance.alias("edits"))
+
+    heads = near(dealt(one).hint("merge").join(dealt(two), [*key, "block"]))
+    # without up to two bytes on each side, lengths must agree: both without two if they are equal
+    end1 = F.expr(f"right(b1, {TAIL})")
+    rest = lambda c, n, d: _without(c, n, d)
+    ends1 = cut1.where(F.col("l1") >= TAIL + 3).withColumn("rest", F.explode(F.array_distinct(F.flatten(F.array(*(rest(end1, TAIL, d) for d in (0, 1, 2)))))))
+    # a longer end loses two bytes against fewer, a shorter one fewer against two
+    longer = [(n, min(2, 2 + n - TAIL)) for n in range(TAIL - 2, TAIL + 3)]
+    ends2 = [F.when(F.col("l2") >= n, rest(F.expr(f"right(b2, {n})"), n, d)).otherwise(F.array().cast("array<bigint>")) for n, d in longer]
+    ends2 = cut2.withColumn("rest", F.explode(F.array_distinct(F.flatten(F.array(*ends2)))))
+    tails = near(ends1.join(ends2, "rest").withColumn("k", edits).where("k >= 3"))
+    found = heads.unionAll(tails).distinct()
+    return found.select("g2_idx", "g1_idx", (1.0 - F.col("edits") / F.col("long")).alias("score")).where(F.col("score") >= least)
 
 
 def similar_match(g1: DataFrame, g2: DataFrame, match: DataFrame, least: float) -> DataFrame:

@@ -35,6 +35,35 @@ def test_exact_duplicates(spark):
     assert pairs(S.exact_match(graph(spark), g2)) == []
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_similar_candidates_of_common_heads(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 7, raising=False)
+    rng = random.Random(12)
+    names = [rng.choice(("large_ring_", "old_rod_", "cold_rod_", "small_widget_", "a_name_space_of_some_length_")) + str(rng.randrange(10**5)) for _ in range(120)]
+
+    def edited(name):
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(name))
+            name = name[:at] + rng.choice(("", "x", "3" + name[at])) + name[at + 1 :]
+        return name
+
+    others = [edited(rng.choice(names)) for _ in range(120)]
+    found = S.similar_candidates(graph(spark, *((n, [], []) for n in names)), graph(spark, *((n, [], []) for n in others)), L)
+    # distances are taken where names meet: what only shares a head goes no further
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("levenshtein" in line for line in plan.splitlines() if "Join Inner" in line) == 2
+    expected = {(i, j) for i, b in enumerate(others) for j, a in enumerate(names) if 1 - edit_distance(a, b) / max(len(a), len(b)) >= L}
+    assert set(pairs(found)) == expected and found.count() == len(expected)
+
+
 def test_similar_threshold(spark):
     g1 = graph(spark, ("abcde", [], []), ("abcdefghij", [], []))
     g2 = graph(spark, ("abcdx", [], []), ("abcdefghix", [], []))

@@ -411,6 +411,27 @@ def test_quality_parts_good_from_junk(spark):
     assert all(kept[i] == (i < 60) for i in range(120))
 
 
+def test_quality_uses_all_labels(spark, monkeypatch):
+    # few documents, named by more labels than a sample would hold
+    words = [" ".join(f"w{(i * 7 + j) % 90}" for j in range(70)) for i in range(40)]
+    docs = documents(spark, [(i * 1000, t, None, None) for i, t in enumerate(words)])
+    labels = spark.range(40_000).selectExpr("id AS doc_id", "1 AS quality")
+    monkeypatch.setattr(quality, "SENT_LABELS", 50, raising=False)
+    seen = []
+    count = quality.corpus_counts
+    monkeypatch.setattr(quality, "corpus_counts", lambda rows, *a: seen.append(count(rows, *a)) or seen[-1])
+    trusted = labels.where("pmod(xxhash64('half', doc_id), 2) = 0").join(docs, "doc_id").select("text")
+    quality.judge(docs, labels)
+    assert seen[0].sum() == count(trusted).sum() > 0
+
+
+def test_quality_threshold():
+    assert quality.threshold([], [], []) == float("-inf")
+    assert quality.threshold([1.0, 2.0, 3.0, 4.0], [0, 0, 5, 5], [3, 4, 0, 1]) == 2.5
+    assert quality.threshold([1.0, 2.0], [0, 4], [0, 0]) == 1.5
+    assert quality.threshold([1.0], [4], [2]) < 1
+
+
 def test_language(spark, odd_rows):
     rng = random.Random(9)
     stems = {"aa": ["kar", "lun", "mip"], "bb": ["oso", "uvi", "ezu"]}

@@ -29,9 +29,9 @@ def translation(match: DataFrame, g1: DataFrame, g2: DataFrame) -> DataFrame:
     return known.groupBy("nbr_name").agg(F.min_by("t", "g2_idx").alias("t"))
 
 
-def required_neighbours(match: DataFrame, g1: DataFrame, g2: DataFrame) -> DataFrame:
-    """v, dir, t: g1 names that a match of the g2 function v must have as neighbours."""
-    found = edges(g2).join(translation(match, g1, g2), "nbr_name")
+def required_neighbours(match: DataFrame, g1: DataFrame, g2: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """v, dir, t: g1 names that a match of the g2 function v (of those in ``of``) must have as neighbours."""
+    found = edges(g2 if of is None else of).join(translation(match, g1, g2), "nbr_name")
     return found.select(F.col("idx").alias("v"), "dir", "t").distinct()
 
 

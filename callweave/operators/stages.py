@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations, groupby
 
@@ -129,55 +130,112 @@ def similar_match(g1: DataFrame, g2: DataFrame, match: DataFrame, least: float)
     return _as_match(greedy_match(similar_candidates(unmatched(g1, match, "g1_idx"), open2, least)), "similar")
 
 
-def structural_candidates(required: DataFrame, g1: DataFrame) -> DataFrame:
-    """v, u: g1 functions that have all neighbours that v requires.
+#: Shares of names, as powers of 2, that marks are made of: a large set fills the marks of large shares.
+SHARES = (0, 4, 8, 12)
 
-    Each v starts from the rarest name that it requires, so names that everything
-    calls never join with everything; the rest is checked by counting.
+
+def _marks(h: Column) -> list[Column]:
+    """A bit for a hashed name, once for each share; none if the name isn't of the share."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    return [F.when(F.call_function("shiftrightunsigned", h, F.lit(8)).bitwiseAND((1 << s) - 1) == 0, bit).otherwise(F.lit(0).cast("long")) for s in SHARES]
+
+
+def _candidate_classes(required: DataFrame, g1: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(c, u) and (v, c): candidates of one v of each required set, and the functions that share it.
+
+    Sets are told apart by size and 128 bits of hashes. Each one starts from the
+    rarest name in it, so names that everything calls don't join with everything,
+    and meets only functions whose marks hold its own; the rest is counted.
     """
-    have = distinct_edges(g1).select(F.col("idx").alias("u"), "dir", F.col("nbr_name").alias("t"))
-    held = have.groupBy("dir", "t").agg(F.count("*").alias("held"))
-    asked = required.join(held, ["dir", "t"], "left").withColumn("held", F.coalesce("held", F.lit(0)))
-    first = asked.groupBy("v").agg(F.count("*").alias("n"), F.min(F.struct("held", "dir", "t")).alias("r"))
-    start = first.where("r.held > 0").select("v", "n", F.col("r.dir").alias("dir"), F.col("r.t").alias("t")).join(have, ["dir", "t"]).select("v", "n", "u")
-    met = start.join(required, "v").join(have, ["u", "dir", "t"], "left_semi")
-    return met.groupBy("v", "u", "n").agg(F.count("*").alias("c")).where("c = n").select("v", "u")
+    name = lambda d, t: F.xxhash64(d, t)
+    required = cut(required.withColumn("h", name("dir", "t")))
+    mark = [f"s{s}" for s in SHARES]
+    sets = required.groupBy("v").agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("t", "dir", F.lit(1))).alias("y"))
+    sets = cut(sets)
+    members = cut(sets.join(sets.groupBy("n", "x", "y").agg(F.min("v").alias("c")), ["n", "x", "y"]).select("v", "c"))
+    asked = required.join(members.where("v = c").select("v"), "v", "left_semi").withColumnRenamed("v", "c")
+    have = edges(g1).select(F.col("idx").alias("u"), name("dir", "nbr_name").alias("h"))
+    held = have.groupBy("h").agg(F.count("*").alias("held"))
+    first = asked.join(held, "h", "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    # `{p}{m}` are the marks of a set
+    marks = lambda p: [F.bit_or(x).alias(f"{p}{m}") for m, x in zip(mark, _marks(F.col("h")))]
+    start = first.groupBy("c").agg(F.count("*").alias("n"), F.min(F.struct("held", "h")).alias("r"), *marks("c_")).where("r.held > 0").select("c", "n", F.col("r.h").alias("h"), *(f"c_{m}" for m in mark))
+    own = have.groupBy("u").agg(*marks("u_"))
+    marked = g1.withColumnRenamed("idx", "u").join(own, "u").select(F.col("u").alias("idx"), "callees", "callers", F.struct(*(f"u_{m}" for m in mark)).alias("m"))
+    at = lambda d, c: marked.select(F.col("idx").alias("u"), "m", F.explode(c).alias("t")).select("u", "m", name(F.lit(d), "t").alias("h"))
+    fits = reduce(lambda x, y: x & y, (F.col(f"c_{m}").bitwiseAND(F.bitwise_not(F.col(f"m.u_{m}"))) == 0 for m in mark))
+    met = cut(start.join(at("callee", "callees").unionAll(at("caller", "callers")), "h").where(fits).select("c", "u", "n").distinct())
+    listed = distinct_edges(g1.join(met.select(F.col("u").alias("idx")).distinct(), "idx", "left_semi")).select(F.col("idx").alias("u"), "dir", F.col("nbr_name").alias("t"))
+    full = met.join(asked.select("c", "dir", "t"), "c").join(listed, ["u", "dir", "t"], "left_semi").groupBy("c", "u", "n").agg(F.count("*").alias("k")).where("k = n")
+    return cut(full.select("c", "u")), members
+
+
+def structural_candidates(required: DataFrame, g1: DataFrame, used: DataFrame | None = None) -> DataFrame:
+    """v, u: g1 functions that have all neighbours that v requires, without those that ``used`` has as u.
+
+    Functions that require the same names have the same candidates, which are
+    sought once.
+    """
+    found, members = _candidate_classes(required, g1)
+    if used is not None:
+        found = found.join(used.select("u"), "u", "left_anti")
+    return found.join(members, "c").select("v", "u")
 
 
-def unknown_neighbours(g2: DataFrame, match: DataFrame) -> DataFrame:
-    """idx, n: listed neighbours of a g2 function without any matched function of their name."""
+def unknown_neighbours(g2: DataFrame, match: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """idx, n: listed neighbours of a g2 function (of those in ``of``) without any matched function of their name."""
     known = match.select(F.col("g2_idx").alias("idx")).join(g2.select("idx", "name"), "idx").select(F.col("name").alias("nbr_name")).distinct()
-    return edges(g2).join(known, "nbr_name", "left_anti").groupBy("idx").agg(F.count("*").alias("n"))
+    return edges(g2 if of is None else of).join(known, "nbr_name", "left_anti").groupBy("idx").agg(F.count("*").alias("n"))
 
 
-def unmatched_neighbours(g1: DataFrame, match: DataFrame) -> DataFrame:
-    """idx, n: listed neighbours of a g1 function whose name's last function is unused."""
+def unmatched_neighbours(g1: DataFrame, match: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """idx, n: listed neighbours of a g1 function (of those in ``of``) whose name's last function is unused."""
     open_ = unmatched(last_index(g1), match, "g1_idx").select(F.col("name").alias("nbr_name"))
-    return edges(g1).join(open_, "nbr_name", "left_semi").groupBy("idx").agg(F.count("*").alias("n"))
+    return edges(g1 if of is None else of).join(open_, "nbr_name", "left_semi").groupBy("idx").agg(F.count("*").alias("n"))
 
 
-def ambiguity_cost(candidates: DataFrame, g1: DataFrame, g2: DataFrame, match: DataFrame) -> DataFrame:
-    """v, u, cost of unused candidates: differences of list lengths and of open neighbours."""
+def _profile(g: DataFrame, of: DataFrame, own: str, count: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``own``, callees, callers, open: lengths of the lists of functions that ``of`` has, and their open neighbours."""
+    g = cut(g.join(of.select(F.col(own).alias("idx")).distinct(), "idx", "left_semi"))
+    sizes = g.select("idx", F.size("callees").alias("callees"), F.size("callers").alias("callers"))
+    return sizes.join(count(g).withColumnRenamed("n", "open"), "idx", "left").select(F.col("idx").alias(own), "callees", "callers", F.coalesce("open", F.lit(0)).alias("open"))
 
-    def sizes(g: DataFrame, own: str, more: DataFrame, p: str) -> DataFrame:
-        counts = g.select(F.col("idx").alias(own), F.size("callees").alias(f"{p}_callees"), F.size("callers").alias(f"{p}_callers"))
-        return counts.join(more.select(F.col("idx").alias(own), F.col("n").alias(f"{p}_open")), own, "left").withColumn(f"{p}_open", F.coalesce(f"{p}_open", F.lit(0)))
 
-    free = candidates.join(match.select(F.col("g1_idx").alias("u")), "u", "left_anti")
-    both = free.join(sizes(g2, "v", unknown_neighbours(g2, match), "a"), "v").join(sizes(g1, "u", unmatched_neighbours(g1, match), "b"), "u")
-    cost = reduce(lambda x, y: x + y, (F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in ("callees", "callers", "open")))
-    return both.select("v", "u", cost.cast("long").alias("cost"))
+def _profiles(of: DataFrame, by: DataFrame, g1: DataFrame, g2: DataFrame, match: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Profiles, a_ and b_, of the functions v that ``by`` and u that ``of`` has."""
+    named = lambda rows, p: rows.withColumnsRenamed({c: f"{p}_{c}" for c in ("callees", "callers", "open")})
+    return named(_profile(g2, by, "v", lambda g: unknown_neighbours(g2, match, g)), "a"), named(_profile(g1, of, "u", lambda g: unmatched_neighbours(g1, match, g)), "b")
+
+
+def _cost() -> Column:
+    return reduce(lambda x, y: x + y, (F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in ("callees", "callers", "open"))).cast("long")
+
+
+def ambiguity_cost(candidates: DataFrame, g1: DataFrame, g2: DataFrame, match: DataFrame) -> DataFrame:
+    """v, u, cost of unused candidates: differences of list lengths and of open neighbours."""
+    free = cut(candidates.join(match.select(F.col("g1_idx").alias("u")), "u", "left_anti"))
+    a, b = _profiles(free, free, g1, g2, match)
+    return free.join(a, "v").join(b, "u").select("v", "u", _cost().alias("cost"))
 
 
 def _structural_round(g1: DataFrame, g2: DataFrame, match: DataFrame) -> DataFrame:
-    required = required_neighbours(match, g1, g2).join(match.select(F.col("g2_idx").alias("v")), "v", "left_anti")
-    found = cut(structural_candidates(required, g1))
-    counts = found.groupBy("v").agg(F.count("*").alias("n"), F.min("u").alias("u"))
-    single = counts.where("n = 1").select("v", "u")
-    costs = ambiguity_cost(found.join(counts.where("n > 1").select("v"), "v", "left_semi"), g1, g2, match)
-    least = costs.groupBy("v").agg(F.min("cost").alias("cost"))
-    tied = costs.join(least, ["v", "cost"]).groupBy("v").agg(F.count("*").alias("k"), F.min("u").alias("u")).where("k = 1")
-    proposed = single.union(tied.select("v", "u")).join(match.select(F.col("g1_idx").alias("u")), "u", "left_anti")
+    """Works on required sets and on profiles, so pairs of functions that can't be told apart are never made."""
+    used = match.select(F.col("g1_idx").alias("u"))
+    found, members = _candidate_classes(required_neighbours(match, g1, g2, unmatched(g2, match, "g2_idx")), g1)
+    counts = cut(found.groupBy("c").agg(F.count("*").alias("n"), F.min("u").alias("u")))
+    single = members.join(counts.where("n = 1"), "c").select("v", "u")
+    several = counts.where("n > 1").select("c")
+    free = cut(found.join(several, "c", "left_semi").join(used, "u", "left_anti"))
+    asking = cut(members.join(free.select("c").distinct(), "c", "left_semi"))
+    a, b = _profiles(free, asking, g1, g2, match)
+    a_, b_ = (["c", *(f"{p}_{c}" for c in ("callees", "callers", "open"))] for p in "ab")
+    asking = cut(asking.join(a, "v"))
+    alike = free.join(b, "u").groupBy(b_).agg(F.count("*").alias("k"), F.min("u").alias("u"))
+    costs = asking.select(a_).distinct().join(alike, "c").withColumn("cost", _cost())
+    # of the least cost: how many, and one of them
+    least = costs.groupBy(*a_, "cost").agg(F.sum("k").alias("k"), F.min("u").alias("u")).groupBy(a_).agg(F.min(F.struct("cost", "k", "u")).alias("x"))
+    tied = asking.join(least.where("x.k = 1").select(*a_, F.col("x.u").alias("u")), a_)
+    proposed = single.unionAll(tied.select("v", "u")).join(used, "u", "left_anti")
     return proposed.groupBy("u").agg(F.min("v").alias("v")).select(F.col("v").alias("g2_idx"), F.col("u").alias("g1_idx"))
 
 
@@ -294,7 +352,7 @@ def inline_match(g1: DataFrame, g2: DataFrame, match: DataFrame, least: float, d
 
 def structural_score(pairs: DataFrame, g1: DataFrame, g2: DataFrame, match: DataFrame) -> DataFrame:
     """v, u, score: the share of v's required neighbours that u has; 0 without any."""
-    required = required_neighbours(match, g1, g2).join(pairs.select("v").distinct(), "v", "left_semi")
+    required = required_neighbours(match, g1, g2, g2.join(pairs.select(F.col("v").alias("idx")).distinct(), "idx", "left_semi"))
     have = distinct_edges(g1).select(F.col("idx").alias("u"), "dir", F.col("nbr_name").alias("t"), F.lit(1).alias("has"))
     counts = pairs.join(required, "v", "left").join(have, ["u", "dir", "t"], "left").groupBy("v", "u").agg(F.count("t").alias("n"), F.sum("has").alias("c"))
     return counts.select("v", "u", F.when(F.col("n") > 0, F.coalesce("c", F.lit(0)) / F.col("n")).otherwise(0.0).cast("double").alias("score"))
@@ -310,7 +368,7 @@ def find_target(g1: DataFrame, g2: DataFrame, match: DataFrame, name: str, least
     first = unmatched(g2.where(F.col("name") == name), match, "g2_idx").agg(F.min("idx").alias("v")).where("v IS NOT NULL")
     first = cut(first)
     free = unmatched(g1, match, "g1_idx")
-    required = required_neighbours(match, g1, g2).join(first, "v", "left_semi")
+    required = required_neighbours(match, g1, g2, g2.join(first.select(F.col("v").alias("idx")), "idx", "left_semi"))
     found = structural_candidates(required, g1).join(free.select(F.col("idx").alias("u")), "u", "left_semi")
     strong = cut(structural_score(found, g1, g2, match).where(F.col("score") >= least).select(F.col("u").alias("g1_idx"), "score"))
     if strong.head(1):

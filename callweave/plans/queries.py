@@ -73,7 +73,7 @@ class Pair:
 
 
 def _open_required(p: Pair) -> DataFrame:
-    return E.required_neighbours(p.named, p.g1, p.g2).join(p.named.select(F.col("g2_idx").alias("v")), "v", "left_anti")
+    return E.required_neighbours(p.named, p.g1, p.g2, E.unmatched(p.g2, p.named, "g2_idx"))
 
 
 def _candidates(p: Pair) -> DataFrame:
@@ -269,7 +269,8 @@ def structural_candidates(spark, d):
 
 def ambiguity_cost(spark, d):
     p = Pair(spark, d)
-    return S.ambiguity_cost(_candidates(p), p.g1, p.g2, p.named)
+    free = S.structural_candidates(_open_required(p), p.g1, used=p.named.select(F.col("g1_idx").alias("u")))
+    return S.ambiguity_cost(free, p.g1, p.g2, p.named)
 
 
 def structural_match(spark, d):

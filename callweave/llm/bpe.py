@@ -14,6 +14,8 @@ of an unfinished character.
 from __future__ import annotations
 
 import base64
+import gc
+import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -25,7 +27,7 @@ from ._support import arrow_batches
 ROOT = 0
 NEVER = float("inf")
 #: Entries that a worker remembers of pieces, states and neighbours; beyond, it starts anew.
-MOST_PIECES, MOST_STATES, MOST_PAIRS = 250_000, 300_000, 300_000
+MOST_PIECES, MOST_STATES, MOST_PAIRS = 250_000, 400_000, 500_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -63,6 +65,7 @@ class Transducer:
                 node = self.child[key]
             self.token[node] = rank
         self.pairs: dict[tuple[int | None, int], bool] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
         self.spines: tuple[dict, dict] = ({}, {})
         self._reset()
 
@@ -76,8 +79,10 @@ class Transducer:
 
     def _halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens that BPE joins last in making this one; None of a byte."""
-        parts = merge_by_rank(self.bytes_of[token], self.ranks, above=token)
-        return tuple(parts) if len(parts) == 2 else None
+        if token not in self.halves:
+            parts = merge_by_rank(self.bytes_of[token], self.ranks, above=token)
+            self.halves[token] = tuple(parts) if len(parts) == 2 else None
+        return self.halves[token]
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """What stands at one edge of a token while it is made, each with the rank that ends it."""
@@ -125,18 +130,24 @@ class Transducer:
         # in the order of where the open token began, so equal sets are equal tuples
         guesses: list[tuple[tuple[int, ...], int | None, int]] = []
         child, fresh, begun = self.child.get, self.child.get(byte), None
+        tokens, pairs = self.token, self.pairs.get
         for waiting, before, node in self.states[state]:
             if (further := child(node << 8 | byte)) is not None:
                 guesses.append((waiting, before, further))
-            token = self.token[node]
-            if token is not None and fresh is not None and self._stand(before, token):
-                begun = (*waiting, token), token, fresh
-        if begun is not None:  # only one encoding ends here, so only one guess begins
+            # only one encoding ends here, so only one guess begins
+            if begun is None and fresh is not None and (token := tokens[node]) is not None:
+                if (stand := pairs((before, token))) is None:
+                    stand = self._stand(before, token)
+                if stand:
+                    begun = (*waiting, token), token, fresh
+        if begun is not None:
             guesses.append(begun)
         if not guesses:
             raise ValueError("the vocabulary doesn't cover a byte")
         agreed = guesses[0][0]
-        for waiting, *_ in guesses:
+        for waiting, *_ in guesses[1:]:
+            if not agreed:
+                break
             while waiting[: len(agreed)] != agreed:
                 agreed = agreed[:-1]
         n = len(agreed)
@@ -263,6 +274,37 @@ class Decoder:
         return "".join(out)
 
 
+def narrow_pattern(pattern: str) -> str | None:
+    """The pattern for Python's own, faster matcher and texts up to U+FFFF; None if it says more than can be put so.
+
+    Classes such as \\p{L} and \\s are written out as the ``regex`` module has them.
+    """
+    import regex
+
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x10000))))
+    out, inside = [], False
+    for part in regex.findall(r"\\[pP]\{\^?\w+\}|\(\?[!:=]|(?s:\\.|.)", pattern):
+        if part[0] == "\\" and (part in (r"\s", r"\S") or part[1] in "pP" and len(part) > 2):
+            spans: list[list[int]] = []
+            for code in map(ord, regex.findall(part, every)):
+                if spans and spans[-1][1] == code - 1:
+                    spans[-1][1] = code
+                else:
+                    spans.append([code, code])
+            if not spans:
+                return None
+            written = "".join(rf"\u{a:04x}-\u{b:04x}" for a, b in spans)
+            out.append(written if inside else f"[{written}]")
+        elif part == "[" and not inside or part == "]" and inside and out[-1] not in ("[", "^"):
+            inside = not inside
+            out.append(part)
+        elif part in ("(?!", "(?:", "(?=") or part.isascii() and (part.isalnum() or part in " '\"`,;:=_/<>@%!|?+*()^"):
+            out.append(part)
+        else:
+            return None
+    return "".join(out)
+
+
 class Encoder:
     """Texts to ids: pieces by a pattern, each through the transducer, frequent ones from memory."""
 
@@ -270,7 +312,9 @@ class Encoder:
         import regex
 
         self.transducer = Transducer(ranks)
-        self.pieces = regex.compile(pattern).findall
+        self.wide = regex.compile(pattern).findall
+        narrow = narrow_pattern(pattern)
+        self.narrow = self.wide if narrow is None else re.compile(narrow).findall
         encode = self.transducer.encode
 
         class Memory(dict):
@@ -282,6 +326,9 @@ class Encoder:
 
         self.new_memory, self.memory = Memory, Memory()
 
+    def pieces(self, text: str) -> list[str]:
+        return (self.narrow if text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text) else self.wide)(text)
+
     def encode(self, text: str) -> list[int]:
         if len(self.memory) > MOST_PIECES:  # what was met lately stays, as the older half
             full, self.memory = self.memory, self.new_memory()
@@ -324,12 +371,16 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
         decoder = Decoder(encoder.transducer.bytes_of)
         for batch in batches:
             flat, ends, texts = [], [0], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                ids = encoder.encode(text) if text else []
-                if decode:
-                    texts.append(decoder.decode(ids))
-                flat.append(np.array(ids, dtype=np.int32))
-                ends.append(ends[-1] + len(ids))
+            gc.disable()  # what the machine keeps has no cycles, and is much to look through again and again
+            try:
+                for text in batch.column(batch.num_columns - 1).to_pylist():
+                    ids = encoder.encode(text) if text else []
+                    if decode:
+                        texts.append(decoder.decode(ids))
+                    flat.append(np.array(ids, dtype=np.int32))
+                    ends.append(ends[-1] + len(ids))
+            finally:
+                gc.enable()
             values = np.concatenate(flat) if flat else np.array([], dtype=np.int32)
             columns = [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))]
             if decode:

@@ -578,6 +578,25 @@ def test_runs_of_letters_with_any_gaps():
     assert runs("\u00f6 \u00e9 \u00fc und 1 2 3 a b") == ["\u00f6\u00e9\u00fc"]
 
 
+def test_narrow_pattern():
+    """Python's own matcher cuts texts as the regex module does."""
+    import random
+    import re
+
+    import regex
+
+    own, whole = re.compile(bpe.narrow_pattern(P.PATTERN)).findall, regex.compile(P.PATTERN).findall
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    assert own(every) == whole(every)
+    rng = random.Random(5)
+    for _ in range(2000):
+        text = "".join(rng.choice([rng.choice(every), rng.choice(" \n\t\x1c\x85\u3000's're a1\u00d1")]) for _ in range(40))
+        assert own(text) == whole(text)
+    assert bpe.narrow_pattern(r"(?i:a)|\bx") is None
+    encoder = bpe.Encoder({bytes([i]): i for i in range(256)}, P.PATTERN)
+    assert encoder.pieces("a \U0001d400b 1") == whole("a \U0001d400b 1")
+
+
 def test_bpe(spark, odd, odd_rows):
     tiktoken = pytest.importorskip("tiktoken")
     with open(RANKS, "rb") as f:

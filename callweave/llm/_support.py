@@ -7,6 +7,7 @@ recomputation of the running stage only.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -85,6 +86,36 @@ def arrow_batches(spark: SparkSession, rows: int = 500, size: str = "2m") -> Non
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+#: The one thing that a worker process keeps from task to task.
+_KEPT: dict[object, object] = {}
+
+
+def let_go() -> None:
+    """Free what the worker keeps from other operators, and give memory that earlier tasks freed back to the system.
+
+    Workers are used again by whatever runs next; without this each holds the
+    largest of all that it ever ran.
+    """
+    import ctypes
+
+    import pyarrow as pa
+
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def kept_in_worker(key, make):
+    """What ``make`` gives, kept in this process until something else is asked for or :func:`let_go` is called."""
+    if key not in _KEPT:
+        let_go()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def text_bytes(name: str = "text") -> Column:
     """UTF-8 bytes of a text column, null as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")

@@ -22,7 +22,7 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._support import arrow_batches
+from ._support import arrow_batches, kept_in_worker
 
 ROOT = 0
 NEVER = float("inf")
@@ -336,16 +336,9 @@ class Encoder:
         return list(chain.from_iterable(map(self.memory.__getitem__, self.pieces(text))))
 
 
-#: One encoder a worker process, kept from task to task.
-_ENCODERS: dict[tuple[int, str], Encoder] = {}
-
-
 def worker_encoder(data: bytes, pattern: str) -> Encoder:
-    key = hash(data), pattern
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(read_ranks(data), pattern)
-    return _ENCODERS[key]
+    """One encoder a worker process, kept from task to task."""
+    return kept_in_worker(("encoder", hash(data), pattern), lambda: Encoder(read_ranks(data), pattern))
 
 
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._support import ASCII_SPACE, Scratch, arrow_batches
+from ._support import ASCII_SPACE, Scratch, arrow_batches, let_go
 
 KEY = ["h1", "h2"]
 BATCHES, FANOUT = 4, 2
@@ -134,6 +134,7 @@ def _line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
         import pyarrow as pa
         from xxhash import xxh3_128_digest
 
+        let_go()
         for batch in batches:
             taken, digests = [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
@@ -193,6 +194,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, i
         import pyarrow as pa
         from xxhash import xxh3_128_digest
 
+        let_go()
         digests = lambda data: {data[i : i + 16] for i in range(0, len(data), 16)}
         everywhere = digests(shared.value) if shared else set()
         for batch in batches:

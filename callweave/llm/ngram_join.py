@@ -28,7 +28,7 @@ from itertools import combinations, count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._support import Scratch, arrow_batches, components, merged_components, whole_groups
+from ._support import Scratch, arrow_batches, components, let_go, merged_components, whole_groups
 
 #: Ratio of the largest to the least size of a band, and pieces a part (k2 is 1).
 BAND, PIECES_SMALL, PIECES, SMALL_K = 1.5, 3, 2, 12
@@ -296,6 +296,7 @@ def _stars(members: DataFrame, percent: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        let_go()
         for table, starts, ends in whole_groups(batches, 2):
             spreads, n = spreads_of(table.column("spread")), table.column("n").to_numpy()
             sizes, pivots = ends - starts, starts.copy()
@@ -344,6 +345,7 @@ def _loose(blocks: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         import numpy as np
 
+        let_go()
         for table, starts, ends in whole_groups(batches, 3):
             sketches = table.column("sketch").to_pylist()
             detail, spreads = np.array([len(x) - 4 for x in sketches]), folded(sketches, CELL_BITS)
@@ -372,6 +374,7 @@ def _sets(rows: DataFrame, words: int, seed: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        let_go()
         shingler = Shingler(words)
         for batch in batches:
             every = [shingler(text) for text in batch.column(2).to_pylist()]
@@ -390,6 +393,7 @@ def _signed(rows: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        let_go()
         shingler, done = Shingler(words), set()
         for batch in batches:
             found, nodes, counts = [], [], []
@@ -433,6 +437,7 @@ def _elements(rows: DataFrame, words: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        let_go()
         shingler = Shingler(words)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "data"])
@@ -458,6 +463,7 @@ def _near(pairs: DataFrame, sets: DataFrame, apart, percent: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        let_go()
         own = b""
         for batch in batches:
             found: list[tuple[int, int]] = []

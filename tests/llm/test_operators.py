@@ -597,6 +597,23 @@ def test_narrow_pattern():
     assert encoder.pieces("a \U0001d400b 1") == whole("a \U0001d400b 1")
 
 
+def test_workers_let_go():
+    """A process keeps what one operator asked for last, nothing else."""
+    import weakref
+
+    from callweave.llm import _support
+
+    class Large:
+        pass
+
+    first = weakref.ref(_support.kept_in_worker("first", Large))
+    assert _support.kept_in_worker("first", Large) is first()
+    second = weakref.ref(_support.kept_in_worker("second", Large))
+    assert first() is None and second() is not None
+    _support.let_go()
+    assert second() is None
+
+
 def test_bpe(spark, odd, odd_rows):
     tiktoken = pytest.importorskip("tiktoken")
     with open(RANKS, "rb") as f:

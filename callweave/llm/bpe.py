@@ -50,8 +50,9 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int], above: float = NEVER) -
 class Transducer:
     """Pieces to token ids. Compiled from ranks; determinised as texts need it."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], memory: float = 1.0):
         self.ranks = ranks
+        self.most_states, self.most_pairs = int(memory * MOST_STATES), int(memory * MOST_PAIRS)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.child: dict[int, int] = {}  # node * 256 + byte
         self.token: list[int | None] = [None]
@@ -70,11 +71,12 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        start = (((), None, ROOT),)
-        self.shared: dict[tuple, tuple] = {}  # guesses, each kept once
+        # guesses of a state follow each other in one tuple: tokens that wait, the token before, a node
+        start = ((), None, ROOT)
+        self.shared: dict[tuple, tuple] = {}  # runs of tokens, each kept once
         self.number = {start: 0}
         self.states = [start]
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self.steps: dict[int, int | tuple[int, tuple[int, ...]]] = {}  # state * 256 + byte: the next state, with what is emitted if anything is
         self.ends: list[tuple[int, ...] | None] = [None]
 
     def _halves(self, token: int) -> tuple[int, int] | None:
@@ -104,7 +106,7 @@ class Transducer:
         key = (before, token)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= MOST_PAIRS:
+            if len(self.pairs) >= self.most_pairs:
                 self.pairs.clear()
             if before is None:
                 known = merge_by_rank(self.bytes_of[token], self.ranks) == [token]
@@ -126,12 +128,16 @@ class Transducer:
             self.pairs[key] = known
         return known
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _guesses(self, state: int) -> Iterator[tuple[tuple[int, ...], int | None, int]]:
+        flat = iter(self.states[state])
+        return zip(flat, flat, flat, strict=True)
+
+    def _step(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
         # in the order of where the open token began, so equal sets are equal tuples
         guesses: list[tuple[tuple[int, ...], int | None, int]] = []
         child, fresh, begun = self.child.get, self.child.get(byte), None
         tokens, pairs = self.token, self.pairs.get
-        for waiting, before, node in self.states[state]:
+        for waiting, before, node in self._guesses(state):
             if (further := child(node << 8 | byte)) is not None:
                 guesses.append((waiting, before, further))
             # only one encoding ends here, so only one guess begins
@@ -151,18 +157,20 @@ class Transducer:
             while waiting[: len(agreed)] != agreed:
                 agreed = agreed[:-1]
         n = len(agreed)
-        one = self.shared.setdefault
-        key = tuple([one(x, x) for x in ([(waiting[n:], before, node) for waiting, before, node in guesses] if n else guesses)])
+        one, flat = self.shared.setdefault, []
+        for waiting, before, node in guesses:
+            rest = waiting[n:]
+            flat += one(rest, rest), before, node
+        key = tuple(flat)
         if (to := self.number.get(key)) is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)
-            self.steps.append({})
             self.ends.append(None)
-        self.steps[state][byte] = to, agreed
-        return to, agreed
+        found = self.steps[state << 8 | byte] = (to, one(agreed, agreed)) if n else to
+        return found
 
     def _end(self, state: int) -> tuple[int, ...]:
-        for waiting, before, node in self.states[state]:
+        for waiting, before, node in self._guesses(state):
             token = self.token[node]
             if token is not None and self._stand(before, token):
                 self.ends[state] = (*waiting, token)
@@ -175,12 +183,16 @@ class Transducer:
             return (own,)
         if not piece:
             return ()
-        if len(self.states) > MOST_STATES:
+        if len(self.states) > self.most_states:
             self._reset()
-        state, out, steps = 0, [], self.steps
+        state, out, step = 0, [], self.steps.get
         for byte in piece:
-            state, emitted = steps[state].get(byte) or self._step(state, byte)
-            if emitted:
+            if (found := step(state << 8 | byte)) is None:
+                found = self._step(state, byte)
+            if found.__class__ is int:
+                state = found
+            else:
+                state, emitted = found
                 out += emitted
         return (*out, *(self.ends[state] or self._end(state)))
 
@@ -308,10 +320,10 @@ def narrow_pattern(pattern: str) -> str | None:
 class Encoder:
     """Texts to ids: pieces by a pattern, each through the transducer, frequent ones from memory."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: float = 1.0):
         import regex
 
-        self.transducer = Transducer(ranks)
+        self.transducer, self.most_pieces = Transducer(ranks, memory), int(memory * MOST_PIECES)
         self.wide = regex.compile(pattern).findall
         narrow = narrow_pattern(pattern)
         self.narrow = self.wide if narrow is None else re.compile(narrow).findall
@@ -330,18 +342,18 @@ class Encoder:
         return (self.narrow if text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text) else self.wide)(text)
 
     def encode(self, text: str) -> list[int]:
-        if len(self.memory) > MOST_PIECES:  # what was met lately stays, as the older half
+        if len(self.memory) > self.most_pieces:  # what was met lately stays, as the older half
             full, self.memory = self.memory, self.new_memory()
             full.older, self.memory.older = {}, full
         return list(chain.from_iterable(map(self.memory.__getitem__, self.pieces(text))))
 
 
-def worker_encoder(data: bytes, pattern: str) -> Encoder:
+def worker_encoder(data: bytes, pattern: str, memory: float = 1.0) -> Encoder:
     """One encoder a worker process, kept from task to task."""
-    return kept_in_worker(("encoder", hash(data), pattern), lambda: Encoder(read_ranks(data), pattern))
+    return kept_in_worker(("encoder", hash(data), pattern, memory), lambda: Encoder(read_ranks(data), pattern, memory))
 
 
-def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False, keep: tuple[str, ...] = (), memory: float = 1.0) -> DataFrame:
     """Token ids of every text, and with ``decode`` the text that the ids give back.
 
     Returns id_col, the columns of ``keep``, ids array<int> and, if asked for,
@@ -349,7 +361,9 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     whole, whatever its length; time grows with its length only. Repeated rows
     are rows of their own, an empty table gives an empty table, other columns
     are ignored. ``ranks_path`` is read on the driver (a vocabulary file of a
-    few hundred KB) and sent to the executors.
+    few hundred KB) and sent to the executors. ``memory`` is the share of the
+    usual entries that a worker remembers (some 300 MB of them); less of it costs
+    time and changes no id.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -360,7 +374,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
         import numpy as np
         import pyarrow as pa
 
-        encoder = worker_encoder(shared.value, pattern)
+        encoder = worker_encoder(shared.value, pattern, memory)
         decoder = Decoder(encoder.transducer.bytes_of)
         for batch in batches:
             flat, ends, texts = [], [0], []

@@ -635,6 +635,26 @@ def test_bpe(spark, odd, odd_rows):
         assert "".join(bpe.Decoder(machine.bytes_of).stream(ids)) == piece.decode("utf-8", "replace")
 
 
+def test_bpe_memory():
+    """A state of the machine takes few bytes, and a share of memory changes no id."""
+    import tracemalloc
+
+    with open(RANKS, "rb") as f:
+        ranks = bpe.read_ranks(f.read())
+    rng = random.Random(3)
+    pieces = ["".join(rng.choice("abcdeinorst") for _ in range(rng.randint(4, 14))).encode() for _ in range(4000)]
+    machine = bpe.Transducer(ranks)
+    tracemalloc.start()
+    try:
+        ids = [machine.encode(x) for x in pieces]
+        assert tracemalloc.get_traced_memory()[0] < 700 * len(machine.states)
+    finally:
+        tracemalloc.stop()
+    small = bpe.Encoder(ranks, P.PATTERN, memory=0.001)
+    assert [tuple(small.encode(x.decode())) for x in pieces] == ids
+    assert len(small.transducer.states) < 1000 < len(machine.states) and len(small.memory) <= 251
+
+
 CONVERSATIONS = "conv_id long, turn long, role string, text string, formatted string, at int"
 
 

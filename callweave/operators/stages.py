@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from callweave.functions.names import as_bytes, is_unknown
 from callweave.operators.edges import distinct_edges, edges, last_index, required_neighbours, unmatched
-from callweave.operators.greedy import greedy_match
+from callweave.operators.greedy import greedy_class_match, greedy_match
 from callweave.session import cut
 
 
@@ -259,29 +259,51 @@ def structural_match(g1: DataFrame, g2: DataFrame, match: DataFrame, max_rounds:
     return _as_match(reduce(DataFrame.unionAll, out), "structural")
 
 
-def reach(functions: DataFrame, depth: int) -> DataFrame:
-    """idx, dir, name: names that resolve in g1 and are reached in 1 to ``depth`` steps of one direction."""
-    steps = edges(functions).select(F.col("idx").alias("at"), "dir", F.col("nbr_name").alias("name")).distinct()
-    steps = cut(steps.join(last_index(functions).withColumnRenamed("idx", "to"), "name"))
-    now = steps.select(F.col("at").alias("idx"), "dir", "name", "to")
-    out = [now]
-    for _ in range(depth - 1):
-        now = cut(now.select("idx", "dir", F.col("to").alias("at")).distinct().join(steps, ["at", "dir"]).select("idx", "dir", "name", "to").distinct())
-        out.append(now)
-    return reduce(DataFrame.unionAll, out).select("idx", "dir", "name").distinct()
+#: Up to so many starts of a step go to all executors, beyond they are joined.
+BROADCAST_STARTS = 1_000_000
+
+
+def _steps(functions: DataFrame, ends: DataFrame, asked: DataFrame) -> DataFrame:
+    """at, dir, name, to: one step from the functions ``at``, in the directions (down, up) that ``asked`` names."""
+    listed = lambda d, c, wanted: F.when(F.col(wanted), F.transform(c, lambda x: F.struct(F.lit(d).alias("dir"), x.alias("name")))).otherwise(F.array().cast("array<struct<dir:string,name:string>>"))
+    few = F.broadcast(asked) if asked.count() <= BROADCAST_STARTS else asked
+    own = functions.select(F.col("idx").alias("at"), "callees", "callers").join(few, "at")
+    names = own.select("at", F.explode(F.concat(listed("callee", "callees", "down"), listed("caller", "callers", "up"))).alias("x")).select("at", "x.dir", "x.name")
+    return cut(names.distinct().join(ends, "name"))
+
 
+def _walked(functions: DataFrame, ends: DataFrame, depth: int, of: DataFrame | None) -> DataFrame:
+    """idx, dir, name, to: what functions (those in ``of``) reach in 1 to ``depth`` steps of one direction.
 
-def translated_reach(g2: DataFrame, g1: DataFrame, match: DataFrame, depth: int) -> DataFrame:
-    """idx, dir, name: g1 names of matched g2 functions reached; all functions of a name are walked through."""
-    steps = edges(g2).select(F.col("idx").alias("at"), "dir", F.col("nbr_name").alias("name")).distinct()
-    steps = cut(steps.join(g2.select("name", F.col("idx").alias("to")), "name").select("at", "dir", "to"))
-    now = steps.select(F.col("at").alias("idx"), "dir", "to")
-    out = [now]
-    for _ in range(depth - 1):
-        now = cut(now.withColumnRenamed("to", "at").join(steps, ["at", "dir"]).select("idx", "dir", "to").distinct())
+    ``ends`` (name, to) says which functions a name leads to. With ``of`` a step
+    reads the lists of those functions only that the step before has reached.
+    """
+    if of is None:
+        steps = cut(edges(functions).select(F.col("idx").alias("at"), "dir", F.col("nbr_name").alias("name")).distinct().join(ends, "name"))
+        now = steps.select(F.col("at").alias("idx"), "dir", "name", "to")
+        out, at = [now], now.select("idx", "dir", F.col("to").alias("at")).distinct()
+    else:
+        out, at = [], of.select("idx", F.explode(F.array(F.lit("callee"), F.lit("caller"))).alias("dir"), F.col("idx").alias("at"))
+    while len(out) < depth:
+        if of is not None:
+            has = lambda d: F.max(F.col("dir") == d)
+            steps = _steps(functions, ends, cut(at.groupBy("at").agg(has("callee").alias("down"), has("caller").alias("up"))))
+        now = cut(at.join(steps, ["at", "dir"]).select("idx", "dir", "name", "to").distinct())
         out.append(now)
+        at = now.select("idx", "dir", F.col("to").alias("at")).distinct()
+    return reduce(DataFrame.unionAll, out)
+
+
+def reach(functions: DataFrame, depth: int, of: DataFrame | None = None) -> DataFrame:
+    """idx, dir, name: names that resolve in g1 and are reached (from those in ``of``) in 1 to ``depth`` steps of one direction."""
+    return _walked(functions, cut(last_index(functions).withColumnRenamed("idx", "to")), depth, of).select("idx", "dir", "name").distinct()
+
+
+def translated_reach(g2: DataFrame, g1: DataFrame, match: DataFrame, depth: int, of: DataFrame | None = None) -> DataFrame:
+    """idx, dir, name: g1 names of matched g2 functions reached (from those in ``of``); all functions of a name are walked through."""
+    found = _walked(g2, cut(g2.select("name", F.col("idx").alias("to"))), depth, of).select("idx", "dir", "to").distinct()
     named = match.select(F.col("g2_idx").alias("to"), "g1_idx").join(g1.select(F.col("idx").alias("g1_idx"), "name"), "g1_idx").select("to", "name")
-    return reduce(DataFrame.unionAll, out).distinct().join(named, "to").select("idx", "dir", "name").distinct()
+    return found.join(named, "to").select("idx", "dir", "name").distinct()
 
 
 def _overlap_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
@@ -307,12 +329,19 @@ def _overlap_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     return smaller_v.select("v", "u").unionAll(smaller_u.select("v", "u")).distinct()
 
 
-def overlap_scores(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """v, u, score of functions whose reach sets overlap by ``least`` (above 0) at least.
+def _set_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(idx, c) and the rows of the functions c: functions of equal sets share c, the least of them.
 
-    In a direction the score is the share of the smaller set that both have. A
-    direction counts if either has names in it; the score is the mean over those.
+    Sets are told apart by size and 128 bits of hashes.
     """
+    sets = rows.groupBy("idx").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("dir", "name")).alias("x"), F.bit_xor(F.xxhash64("name", "dir", F.lit(1))).alias("y"))
+    sets = cut(sets)
+    members = cut(sets.join(sets.groupBy("n", "x", "y").agg(F.min("idx").alias("c")), ["n", "x", "y"]).select("idx", "c"))
+    return members, cut(rows.join(members.where("idx = c").select("idx"), "idx", "left_semi"))
+
+
+def _scores(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """v, u, score of functions of ``a`` and ``b``, each with each."""
     pairs = cut(_overlap_pairs(a, b, least))
     rows = {"v": a.withColumnRenamed("idx", "v"), "u": b.withColumnRenamed("idx", "u")}
     count = lambda i: rows[i].groupBy(i, "dir").agg(F.count("*").alias(f"n_{i}"))
@@ -336,18 +365,41 @@ def overlap_scores(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     return both.select("v", "u", ((s1 * p1 + s2 * p2) / (p1 + p2)).alias("score")).where(F.col("score") >= least)
 
 
+def _class_scores(a: DataFrame, b: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(c, d, score) of classes of equal sets, and their members (v, c) and (u, d)."""
+    (vs, a), (us, b) = _set_classes(a), _set_classes(b)
+    scores = cut(_scores(a, b, least).select(F.col("v").alias("c"), F.col("u").alias("d"), "score"))
+    return scores, vs.withColumnRenamed("idx", "v"), us.select(F.col("idx").alias("u"), F.col("c").alias("d"))
+
+
+def overlap_scores(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """v, u, score of functions whose reach sets overlap by ``least`` (above 0) at least.
+
+    In a direction the score is the share of the smaller set that both have. A
+    direction counts if either has names in it; the score is the mean over those.
+    """
+    return _scores(a, b, least)
+
+
+def _open_reach(g1: DataFrame, g2: DataFrame, match: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """What unmatched g2 and g1 functions reach, in g1 names."""
+    mine = translated_reach(g2, g1, match, depth, unmatched(g2, match, "g2_idx"))
+    return cut(mine), cut(reach(g1, depth, unmatched(g1, match, "g1_idx")))
+
+
 def inline_candidates(g1: DataFrame, g2: DataFrame, match: DataFrame, least: float, depth: int = 3) -> DataFrame:
     """g2_idx, g1_idx, score of unmatched functions with similar reach."""
     if least <= 0:
         raise ValueError("a threshold must be above 0")
-    mine = translated_reach(g2, g1, match, depth).join(match.select(F.col("g2_idx").alias("idx")), "idx", "left_anti")
-    theirs = reach(g1, depth).join(match.select(F.col("g1_idx").alias("idx")), "idx", "left_anti")
-    return overlap_scores(cut(mine), cut(theirs), least).select(F.col("v").alias("g2_idx"), F.col("u").alias("g1_idx"), "score")
+    return overlap_scores(*_open_reach(g1, g2, match, depth), least).select(F.col("v").alias("g2_idx"), F.col("u").alias("g1_idx"), "score")
 
 
 def inline_match(g1: DataFrame, g2: DataFrame, match: DataFrame, least: float, depth: int = 3) -> DataFrame:
     """Unmatched functions that reach the same functions in a few steps, best first: inlining in between is no matter."""
-    return _as_match(greedy_match(inline_candidates(g1, g2, match, least, depth)), "inline")
+    if least <= 0:
+        raise ValueError("a threshold must be above 0")
+    scores, vs, us = _class_scores(*_open_reach(g1, g2, match, depth), least)
+    return _as_match(greedy_class_match(scores, vs, us), "inline")
 
 
 def structural_score(pairs: DataFrame, g1: DataFrame, g2: DataFrame, match: DataFrame) -> DataFrame:

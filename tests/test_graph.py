@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callweave.cli import Args, main
 from callweave.operators import edges as E
+from callweave.operators import greedy
 from callweave.operators import report as R
 from callweave.operators import stages as S
 from callweave.operators.greedy import greedy_match
@@ -321,3 +322,63 @@ def test_functions_of_equal_requirements_share_candidates(spark):
         if u is not None and u not in taken:
             best[u] = min(v, best.get(u, v))
     assert {r.g1_idx: r.g2_idx for r in S.structural_match(g1, g2, match).collect()} == best
+
+
+def tied_graphs(spark, n):
+    """Functions that one hub calls and none can tell apart, and a matched tree beside them."""
+    tree = [("hub", ["root"], ["top"]), ("top", ["hub"], []), ("root", [f"leaf{i}" for i in range(50)], ["hub"]), *((f"leaf{i}", [], ["root"]) for i in range(50))]
+    g1 = graph(spark, *((f"known{i}", [], ["hub"]) for i in range(n)), *tree)
+    g2 = graph(spark, *((f"FUN_{i}", [], ["hub"]) for i in range(n)), *tree)
+    return g1, g2, match_of(spark, *((i, i) for i in range(n, n + 53)))
+
+
+@pytest.fixture
+def rows_cut(monkeypatch):
+    """Rows that are written to the checkpoint folder."""
+    from callweave.session import cut
+
+    rows = []
+
+    def counted(df):
+        out = cut(df)
+        rows.append(out.count())
+        return out
+
+    for module in (S, greedy):
+        monkeypatch.setattr(module, "cut", counted)
+    return rows
+
+
+def test_inline_of_many_ties(spark, rows_cut):
+    n = 60
+    g1, g2, m = tied_graphs(spark, n)
+    assert pairs(S.inline_match(g1, g2, m, L)) == [(i, i) for i in range(n)]
+    assert max(rows_cut) <= 2 * (n + 53)  # neither all pairs nor what matched functions reach
+    assert len(rows_cut) < n  # nor a round for each
+
+
+def test_reach_of_some(spark):
+    rng = random.Random(3)
+    names = [f"f{i % 25}" for i in range(30)]  # some names stand for two functions
+    g = graph(spark, *((x, rng.sample(names, 3), rng.sample(names, 2)) for x in names))
+    m = match_of(spark, *((i, i) for i in range(0, 30, 2)))
+    some = g.where("idx % 7 = 1").select("idx")
+    for walk in (lambda of: S.reach(g, 3, of), lambda of: S.translated_reach(g, g, m, 3, of)):
+        rows = lambda df: sorted(map(tuple, df.collect()))
+        assert rows(walk(some)) == rows(walk(None).where("idx % 7 = 1")) != []
+
+
+def test_greedy_of_classes_is_greedy(spark):
+    rng = random.Random(12)
+    for n in (0, 3, 8):
+        vs, us = [(v, rng.randrange(n)) for v in range(5 * n)], [(u, rng.randrange(n)) for u in range(4 * n)]
+        scores = [(c, d, rng.choice((0.8, 0.9, 1.0))) for c in range(n) for d in range(n) if rng.random() < 0.5]
+        tables = [spark.createDataFrame(x, s) for x, s in ((scores, "c long, d long, score double"), (vs, "v long, c long"), (us, "u long, d long"))]
+        every = sorted((-s, v, u) for c, d, s in scores for v, vc in vs if vc == c for u, ud in us if ud == d)
+        expected, used2, used1 = [], set(), set()
+        for s, v, u in every:
+            if v not in used2 and u not in used1:
+                expected.append((-s, v, u))
+                used2.add(v)
+                used1.add(u)
+        assert sorted(map(tuple, greedy.greedy_class_match(*tables).collect())) == sorted(expected)

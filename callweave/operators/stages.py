@@ -372,13 +372,34 @@ def _class_scores(a: DataFrame, b: DataFrame, least: float) -> tuple[DataFrame,
     return scores, vs.withColumnRenamed("idx", "v"), us.select(F.col("idx").alias("u"), F.col("c").alias("d"))
 
 
+#: Members of two classes meet in cells of about so many on each side.
+CELL = 1024
+
+
+def _all_members(scores: DataFrame, vs: DataFrame, us: DataFrame) -> DataFrame:
+    """v, u, score of all members of the classes of each pair."""
+    blocks = lambda rows, c, n: rows.groupBy(c).agg(F.ceil(F.count("*") / CELL).cast("int").alias(n))
+    cells = cut(scores.join(blocks(vs, "c", "of_v"), "c").join(blocks(us, "d", "of_u"), "d"))
+    block = lambda i, n: F.pmod(F.xxhash64(i), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key = ["c", "d", "i", "j"]
+    one = cells.join(vs, "c").select("c", "d", "score", "v", block("v", "of_v").alias("i"), every("of_u").alias("j"))
+    two = cells.join(us, "d").select("c", "d", "u", block("u", "of_u").alias("j"), every("of_v").alias("i"))
+    # few bytes can meet in many pairs, so these tasks aren't merged by bytes
+    spark = scores.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = lambda rows: rows.repartition(tasks, *key)
+    return dealt(one).hint("merge").join(dealt(two), key).select("v", "u", "score")
+
+
 def overlap_scores(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     """v, u, score of functions whose reach sets overlap by ``least`` (above 0) at least.
 
     In a direction the score is the share of the smaller set that both have. A
     direction counts if either has names in it; the score is the mean over those.
+    Functions of equal sets are scored once.
     """
-    return _scores(a, b, least)
+    return _all_members(*_class_scores(a, b, least))
 
 
 def _open_reach(g1: DataFrame, g2: DataFrame, match: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:

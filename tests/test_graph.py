@@ -357,6 +357,20 @@ def test_inline_of_many_ties(spark, rows_cut):
     assert len(rows_cut) < n  # nor a round for each
 
 
+def test_overlap_of_many_ties(spark, rows_cut):
+    n = 60
+    g1, g2, m = tied_graphs(spark, n)
+    assert pairs(S.inline_candidates(g1, g2, m, 0.5)) == [(i, j) for i in range(n) for j in range(n)]
+    assert max(rows_cut) <= 2 * (n + 53)
+
+
+def test_overlap_cells(spark, monkeypatch):
+    monkeypatch.setattr(S, "CELL", 7)
+    rows = lambda n: spark.createDataFrame([(i, "caller", f"n{i % 3}") for i in range(n)], "idx long, dir string, name string")
+    got = sorted((r.v, r.u, r.score) for r in S.overlap_scores(rows(50), rows(31), 0.5).collect())
+    assert got == [(v, u, 1.0) for v in range(50) for u in range(31) if v % 3 == u % 3]
+
+
 def test_reach_of_some(spark):
     rng = random.Random(3)
     names = [f"f{i % 25}" for i in range(30)]  # some names stand for two functions

@@ -25,7 +25,7 @@ from ._support import ASCII_SPACE, Scratch, arrow_batches, let_go
 KEY = ["h1", "h2"]
 BATCHES, FANOUT = 4, 2
 #: Lines that a bucket is to get, and the least and most buckets of a run: each is a file and a task.
-LINES_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 1_000_000, 8, 4096
+LINES_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 1_000_000, 2, 4096
 #: Up to so many common lines (16 bytes each) go to all executors, beyond they are joined.
 BROADCAST_LINES = 200_000
 
@@ -165,7 +165,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, i
     scratch = Scratch(spark, "lines")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"), text.alias("_bytes"), F.struct(*keep).alias("_kept") if keep else F.lit(0).alias("_kept"))
-    lines = scratch.save(_line_hashes(rows.drop("_kept"), min_chars))
+    # not saved: each file that a task writes may start processes, and making them again costs little
+    lines = _line_hashes(rows.drop("_kept"), min_chars)
     counts = lines.groupBy(F.pmod(F.xxhash64("_id", "_text"), F.lit(batches)).cast("int").alias("batch"), *KEY).agg(F.count("*").alias("n"))
     staged = scratch.save(counts)
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, staged.count() // LINES_A_BUCKET))
@@ -178,7 +179,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, i
     scratch.drop_folder("runs")
     known = common.limit(BROADCAST_LINES + 1).toArrow()  # at most so many lines, 16 bytes each
     if len(known) <= BROADCAST_LINES:
-        scratch.drop(lines, common)
+        scratch.drop(common)
         shared = spark.sparkContext.broadcast(np.stack([known.column(c).to_numpy() for c in KEY], axis=1).astype(">i8").tobytes())
         none = F.lit(None).cast("array<bigint>")
         joined = rows.select("_id", "_bytes", none.alias("_d1"), none.alias("_d2"), "_kept")
@@ -187,7 +188,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, i
         found = lines.join(common, KEY, "left_semi")
         dropped = found.groupBy("_id", "_text").agg(F.collect_set(F.struct(*KEY)).alias("_drop"))
         dropped = scratch.save(dropped.select(F.col("_id").alias("_of"), F.col("_text").alias("_of_text"), F.col("_drop.h1").alias("_d1"), F.col("_drop.h2").alias("_d2")))
-        scratch.drop(lines, common)
+        scratch.drop(common)
         joined = rows.join(dropped, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_text") == F.col("_of_text")), "left").select("_id", "_bytes", "_d1", "_d2", "_kept")
 
     def run(batches):

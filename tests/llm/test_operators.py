@@ -155,6 +155,26 @@ def test_batches_meet_runs_by_merge_joins_without_moving_them(spark, tmp_path):
     runs.close()
 
 
+def test_line_dedup_writes_few_files(spark, monkeypatch):
+    """Fewer than the table has partitions: a file may cost the start of a process."""
+    files, saved = [], line_dedup.Scratch.save
+
+    def save(self, df):
+        out = saved(self, df)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(line_dedup.Scratch, "save", save)
+    docs = documents(spark, [(i, f"everywhere\nonly {i}", None, None) for i in range(60)]).repartition(30)
+    for known in (line_dedup.BROADCAST_LINES, 0):
+        monkeypatch.setattr(line_dedup, "BROADCAST_LINES", known)
+        files.clear()
+        assert sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_common_lines(docs).collect()) == [(i, f"only {i}", 2, 1) for i in range(60)]
+        assert sum(files) < 30
+    buckets = line_dedup.LineRuns(spark, f"{line_dedup.Scratch(spark, 'lines').root}/runs", 2, buckets=line_dedup.LEAST_BUCKETS).buckets
+    assert buckets <= 2
+
+
 def test_line_dedup_without_broadcast(spark, odd, monkeypatch):
     both = []
     for most in (10**6, 0):
